@@ -5,6 +5,8 @@ from .geo import (  # noqa: F401
     geodesic,
     haversine_km,
     km_errors,
+    with_geodesic,
+    with_haversine,
 )
 from .measure import clamp_depth, residual_weight, round6, scaled  # noqa: F401
 from .times import (  # noqa: F401

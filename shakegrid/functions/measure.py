@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c) -> Column:
@@ -38,3 +38,13 @@ def clamp_depth(depth, top, bottom) -> Column:
     top = top if isinstance(top, Column) else F.lit(float(top))
     bottom = bottom if isinstance(bottom, Column) else F.lit(float(bottom))
     return F.greatest(F.least(col(depth), bottom), top)
+
+
+def settle(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """Add columns as the output of a one-element ``inline``.
+
+    A filter on them then tests the value. Over a plain projection the optimizer would push the
+    filter below and copy the whole formula into it, many times over for nested formulas.
+    """
+    kept = [c for c in df.columns if c not in new]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.geo import cell_id, cells_around, geodesic, haversine_km
+from ..functions.geo import cell_id, cells_around, haversine_km, with_geodesic, with_haversine
 from ..functions.times import minute_key, to_compact
 from ..session import small
 
@@ -66,17 +66,8 @@ def event_station(cat: DataFrame, stations: DataFrame, wgs84: bool = False) -> D
         F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0))), lambda b: b <= last)),
     )
     out = ev.join(small(st), "_blk").drop("_blk")
-    if wgs84:
-        out = out.withColumn("_g", geodesic("lat", "lon", "stn_lat", "stn_lon"))
-        return out.withColumns({"dist_km": F.col("_g.km"), "azimuth": F.col("_g.azimuth")}).drop("_g")
-    p1, p2 = F.radians("lat"), F.radians("stn_lat")
-    dl = F.radians("stn_lon") - F.radians("lon")
-    azimuth = F.degrees(
-        F.atan2(F.sin(dl) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl))
-    )
-    return out.withColumns(
-        {"dist_km": haversine_km("lat", "lon", "stn_lat", "stn_lon"), "azimuth": azimuth}
-    )
+    measure = with_geodesic if wgs84 else with_haversine
+    return measure(out, "lat", "lon", "stn_lat", "stn_lon", "dist_km", "azimuth")
 
 
 def station_pairs(stations: DataFrame) -> DataFrame:
@@ -175,7 +166,7 @@ def triple_differences(
     if max_km is not None:
         # Cheap bound first: the ellipsoid is nowhere more than 1 % off this sphere.
         pairs = pairs.where(haversine_km(*ends) < max_km * 1.01)
-    pairs = pairs.withColumn("dist_km", geodesic(*ends)["km"] if wgs84 else haversine_km(*ends))
+    pairs = (with_geodesic if wgs84 else with_haversine)(pairs, *ends)
     if max_km is not None:
         pairs = pairs.where(F.col("dist_km") < max_km)
     return pairs.select(

@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 50_000
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="shakegrid-ckpt-")
-    sc.setCheckpointDir(shared)
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="shakegrid-ckpt-")
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
-    The written copy survives the loss of any executor and fixes the rows, so that
-    two readers of the result always see the same partitions.
+    The written copy survives the loss of any executor and fixes the rows, so two readers of the
+    result see the same values. A table also forgets what the optimizer knew about the columns;
+    in loops that knowledge would grow from step to step.
     """
+    path = f"{_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` with its partitioning, so that joins on its partition keys do not move it."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
