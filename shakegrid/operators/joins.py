@@ -60,11 +60,8 @@ def event_station(cat: DataFrame, stations: DataFrame, wgs84: bool = False) -> D
         "stn_idx", F.col("lat").alias("stn_lat"), F.col("lon").alias("stn_lon"),
         F.col("dep_km").alias("stn_dep"), "sc",
     ).withColumn("_blk", F.floor(F.col("stn_idx") / BLOCK_ROWS))
-    last = st.agg(F.coalesce(F.max("_blk"), F.lit(-1).cast("bigint"))).scalar()
-    ev = cat.withColumn(
-        "_blk",
-        F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0))), lambda b: b <= last)),
-    )
+    last = st.agg(F.max("_blk")).scalar()
+    ev = cat.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     out = ev.join(small(st), "_blk").drop("_blk")
     measure = with_geodesic if wgs84 else with_haversine
     return measure(out, "lat", "lon", "stn_lat", "stn_lon", "dist_km", "azimuth")

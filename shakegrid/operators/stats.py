@@ -93,24 +93,18 @@ def histogram(
     total = values.agg(F.count("*").alias("n"))
     if mode == "viewer":
         values = values.where(finite("value"))
-        if zoom:
-            span = values.sparkSession.range(1).select(F.lit(zoom[0]).alias("lo"), F.lit(zoom[1]).alias("hi"))
-        else:
-            span = robust_range(values, "value")
+        span = total.select(F.lit(zoom[0]).alias("lo"), F.lit(zoom[1]).alias("hi")) if zoom else robust_range(values, "value")
     else:
         span = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     bins = F.least(
         F.greatest(F.ceil(1 + F.log10("n") / F.log10(F.lit(2.0))), F.lit(5)), F.lit(30)
     )
     width = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo")) / F.col("bins")
-    # One row: range and bin count. Small enough to travel as scalars.
-    shape = (
-        total.withColumn("lo", span.select("lo").scalar())
-        .withColumn("hi", span.select("hi").scalar())
-        .withColumn("bins", bins)
-        .withColumn("width", width)
-    )
-    lo, hi, width, bins = (shape.select(c).scalar() for c in ("lo", "hi", "width", "bins"))
+    # Two tables of one row each become one struct that travels as a scalar.
+    one = F.lit(1).alias("_one")
+    shape = total.select("n", one).join(span.select("lo", "hi", one), "_one").withColumn("bins", bins)
+    shape = shape.select(F.struct("lo", "hi", "bins", width.alias("width"))).scalar()
+    lo, hi, width, bins = (shape[c] for c in ("lo", "hi", "width", "bins"))
     v = F.col("value")
     if zoom and mode == "viewer":
         values = values.where(v.between(*zoom))

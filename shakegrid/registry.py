@@ -252,7 +252,7 @@ def latest_picks(spark, sf):
 
 
 @query("pick_offsets", using("picks channels latest", f"""SELECT l.event_id, c.channel, CASE WHEN l.phase = 'P' THEN 0 ELSE 1 END AS phase_code,
-  {r6('(epoch_ms(l.ts) - epoch_ms(r.m)) / 1000e0')} AS offset_s, {r6('(epoch_ms(l.ts) - epoch_ms(r.m)) / 1000e0 + 0.5e0')} AS offset2_s FROM latest l
+  {r6('(epoch_us(l.ts) // 1000 - epoch_us(r.m) // 1000) / 1000e0')} AS offset_s, {r6('(epoch_us(l.ts) // 1000 - epoch_us(r.m) // 1000) / 1000e0 + 0.5e0')} AS offset2_s FROM latest l
   JOIN (SELECT event_id, date_trunc('minute', min(ts)) AS m FROM latest WHERE phase = 'P' GROUP BY 1) r USING (event_id)
   JOIN channels c ON CAST(c.station AS VARCHAR) = l.station AND c.component = l.component WHERE l.ts >= r.m"""))
 def pick_offsets(spark, sf):
@@ -389,8 +389,9 @@ def mad_weights(spark, sf):
     return rounded(stats.mad_weights(cut(rows), ["cid"]).select("event_id", "seq", "weight"))
 
 
-@query("cluster_residual_trace", using("catalog", f"""SELECT cid, step + CASE WHEN stage = 1 THEN 10 ELSE 0 END AS step, {r6('sqrt(sum(rms * rms))')} AS residual_norm
-  FROM (SELECT cid, event_id % 2 AS stage, (event_id // 2) % 10 AS step, rms FROM catalog WHERE cid > 0) GROUP BY 1, 2"""))
+@query("cluster_residual_trace", using("catalog", f"""SELECT cid, step + CASE WHEN stage = 1 THEN coalesce(first_steps, 0) ELSE 0 END AS step, {r6('sqrt(sum(rms * rms))')} AS residual_norm
+  FROM t LEFT JOIN (SELECT cid, max(step) + 1 AS first_steps FROM t WHERE stage = 0 GROUP BY cid) USING (cid) GROUP BY 1, 2""",
+  "t AS (SELECT cid, event_id % 2 AS stage, (event_id // 2) % 10 AS step, rms FROM catalog WHERE cid > 0)"))
 def cluster_residual_trace(spark, sf):
     trace = v.catalog(spark, sf).where("cid > 0").selectExpr("cid", "event_id % 2 stage", "event_id div 2 % 10 step", "rms residual")
     return rounded(stats.cluster_residual_trace(trace))
