@@ -11,7 +11,7 @@ from .operators import density, filters, joins, picks, ranks, sets, stats, waves
 from .oracle import (
     EPS, MIN_PTS, RESID, TD, TD_KM, TD_RESID, TIMES, density as density_sql, describe, histogram, km, near, r6, using,
 )
-from .plans import locate, traveltime
+from .plans import cluster_job as cluster_plan, locate, relocate as relocate_plan, traveltime
 from .session import cut
 
 Q: dict[str, tuple] = {}
@@ -516,3 +516,88 @@ def travel_times(spark, sf):
 def partials(spark, sf):
     pairs = joins.event_station(v.catalog(spark, sf), v.stations(spark, sf))
     return rounded(traveltime.partials(pairs, STRAIGHT).select("event_id", "stn_idx", "g_dep", "tt"))
+
+
+@query("travel_time_grid")
+def travel_time_grid(spark, sf):
+    """Table of the depths and distances the catalogue needs, for a crust that follows its depths."""
+    cat, st = v.catalog(spark, sf), v.stations(spark, sf)
+    # Depth quartiles of the catalogue are the layer boundaries of the model.
+    layers = ranks.nth_values(cat, "depth_km", {f"q{i}": (lambda n, i=i: F.floor((n - 1) * i / 4)) for i in range(5)})
+    layers = layers.select(F.explode(F.array(*[F.struct(F.col(f"q{i}").alias("d"), F.lit(3.2 + 0.3 * i).alias("v")) for i in range(5)])).alias("s"))
+    layers = layers.select(F.greatest(F.col("s.d") - 5.0, F.lit(0.0)).alias("depth_km"), F.col("s.v").alias("vs")).unionByName(
+        st.agg(F.lit(200.0).alias("depth_km"), F.lit(4.6).alias("vs")))
+    return rounded(traveltime.travel_time_grid(layers, (200.0, 5.0), (40.0, 5.0), (3.0, 1.0), rays=32, up_rays=200))
+
+
+# ---- location and relocation -------------------------------------------------------------------
+
+@query("locate_search")
+def locate_search(spark, sf):
+    obs = locate.observations(v.lags(spark, sf, seq=True), v.stations(spark, sf))
+    return rounded(locate.locate_search(v.catalog(spark, sf), obs, STRAIGHT, stages=3, n=60, bottom=3.0, wgs84=False))
+
+
+@query("locate_lsq")
+def locate_lsq(spark, sf):
+    obs = locate.observations(v.lags(spark, sf, seq=True), v.stations(spark, sf))
+    return rounded(locate.locate_lsq(v.catalog(spark, sf), obs, STRAIGHT, rounds=2, max_iter=5, bottom=3.0, wgs84=False)[0])
+
+
+@query("excluded_pairs")
+def excluded_pairs(spark, sf):
+    st = v.stations(spark, sf)
+    lags = v.lags(spark, sf, seq=True).withColumn("weight", F.when(F.col("weight") < 0.3, 0.0).otherwise(F.col("weight")))
+    return locate.excluded_pairs(lags, st)
+
+
+Q["excluded_pairs"] = (excluded_pairs, using("lags stations", """SELECT event_id, string_agg((seq + 1) || ':' || a.code || '-' || b.code, ', ' ORDER BY seq) AS note
+  FROM lags l JOIN stations a ON a.stn_idx = l.stn_k JOIN stations b ON b.stn_idx = l.stn_l WHERE weight < 0.3e0 GROUP BY event_id"""))
+
+
+@query("posterior")
+def posterior(spark, sf):
+    obs = locate.observations(v.lags(spark, sf, seq=True), v.stations(spark, sf))
+    return rounded(locate.posterior(v.catalog(spark, sf), obs, STRAIGHT, n=40, bottom=3.0, wgs84=False))
+
+
+@query("build_catalog", using("catalog", f"""SELECT event_id, {r6("CASE WHEN mode = 'GRD' THEN lat + 0.5e0 ELSE lat END")} AS lat, CASE mode WHEN 'GRD' THEN 'LMO' ELSE 'ERR' END AS mode FROM catalog"""))
+def build_catalog(spark, sf):
+    cat = v.catalog(spark, sf)
+    located = cat.where("mode = 'GRD'").withColumns({"lat": F.col("lat") + 0.5, "mode": F.lit("")})
+    return rounded(locate.build_catalog(cat, located, "LMO").select("event_id", "lat", "mode"))
+
+
+@query("select_td")
+def select_td(spark, sf):
+    return rounded(relocate_plan.select_td(_tdr(spark, sf), 50))
+
+
+@query("td_normal_equations", using("catalog lags stations", f"""SELECT a, count(*) AS n_blocks, {r6('sum(m22)')} AS m22 FROM
+  (SELECT a, b, sum(m22) AS m22 FROM (SELECT eve0 AS a, eve0 AS b, g0 * g0 AS m22 FROM g WHERE t0 UNION ALL SELECT eve1, eve1, g1 * g1 FROM g WHERE t1
+  UNION ALL SELECT least(eve0, eve1), greatest(eve0, eve1), -g0 * g1 FROM g WHERE t0 AND t1) GROUP BY a, b) GROUP BY a""",
+  TD + ", " + TIMES + """, gz AS MATERIALIZED (SELECT event_id, stn_idx, (depth_km - stn_dep) / sqrt(dist_km * dist_km + (depth_km - stn_dep) * (depth_km - stn_dep)) / 3.5e0 AS z FROM pairs),
+  g AS MATERIALIZED (SELECT t.eve0, t.eve1, l0.z - k0.z AS g0, l1.z - k1.z AS g1, c0.mode <> 'REF' AS t0, c1.mode <> 'REF' AS t1 FROM td t
+  JOIN gz k0 ON k0.event_id = t.eve0 AND k0.stn_idx = t.stn_k JOIN gz l0 ON l0.event_id = t.eve0 AND l0.stn_idx = t.stn_l
+  JOIN gz k1 ON k1.event_id = t.eve1 AND k1.stn_idx = t.stn_k JOIN gz l1 ON l1.event_id = t.eve1 AND l1.stn_idx = t.stn_l
+  JOIN catalog c0 ON c0.event_id = t.eve0 JOIN catalog c1 ON c1.event_id = t.eve1)"""))
+def td_normal_equations(spark, sf):
+    td, cat = cut(_td(spark, sf)), v.catalog(spark, sf)
+    state = cat.withColumn("target", ~F.col("mode").isin("REF", "ERR"))
+    rows = relocate_plan.td_rows(td, relocate_plan.pair_places(td, v.stations(spark, sf)), state, STRAIGHT, False)
+    system = relocate_plan.td_system(rows.withColumn("w", F.lit(1.0)))
+    return rounded(system.groupBy("a").agg(F.count("*").alias("n_blocks"), F.sum("m22").alias("m22")))
+
+
+@query("relocate")
+def relocate(spark, sf):
+    return rounded(relocate_plan.relocate(
+        v.catalog(spark, sf), _tdr(spark, sf), v.stations(spark, sf), STRAIGHT, iterations=(1, 1), dist_km=(1.0, 0.5), damping=(0.1, 0.1), bottom=3.0, wgs84=False))
+
+
+@query("cluster_job")
+def cluster_job(spark, sf):
+    cat, td = cluster_plan.cluster_job(
+        v.catalog(spark, sf, order=True), v.lags(spark, sf), v.stations(spark, sf), STRAIGHT, eps_km=EPS, min_pts=MIN_PTS, rms_max=0.8, max_km=TD_KM, wgs84=False)
+    per = td.groupBy("cid").agg(F.count("*").alias("n_td"), F.avg("residual").alias("mean_residual"))
+    return rounded(stats.cluster_sizes(cat).join(per, "cid", "left"))
