@@ -254,8 +254,8 @@ def travel_time_grid(
     piece = curve.withColumns({f"{c}2": e for c, e in nxt.items()}).where(F.col("x2").isNotNull())
     piece = piece.withColumns({"lo": F.least("x", "x2"), "hi": F.greatest("x", "x2")})
     dx, last = dist[1], int(math.floor(dist[0] / dist[1] + 1e-9))
-    first_node = F.ceil(F.col("lo") / dx - 1e-9).cast("int")
-    last_node = F.least(F.floor(F.col("hi") / dx + 1e-9).cast("int"), F.lit(last))
+    first_node = F.least(F.ceil(F.col("lo") / dx - 1e-9), F.lit(last + 1)).cast("int")
+    last_node = F.least(F.floor(F.col("hi") / dx + 1e-9), F.lit(last)).cast("int")
     node = piece.where(first_node <= last_node).select("*", F.explode(F.sequence(first_node, last_node)).alias("node"))
     part = F.when(F.col("x2") != F.col("x"), (F.col("node") * dx - F.col("x")) / (F.col("x2") - F.col("x"))).otherwise(0.0)
     # dt/dx = p along the curve, p taken as linear between two rays.

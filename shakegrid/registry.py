@@ -518,16 +518,17 @@ def partials(spark, sf):
     return rounded(traveltime.partials(pairs, STRAIGHT).select("event_id", "stn_idx", "g_dep", "tt"))
 
 
-@query("travel_time_grid")
-def travel_time_grid(spark, sf):
-    """Table of the depths and distances the catalogue needs, for a crust that follows its depths."""
+@query("grid_travel_times")
+def grid_travel_times(spark, sf):
+    """First arrivals of a layered crust, its boundaries at the depth quartiles of the catalogue, at every event and station."""
     cat, st = v.catalog(spark, sf), v.stations(spark, sf)
-    # Depth quartiles of the catalogue are the layer boundaries of the model.
     layers = ranks.nth_values(cat, "depth_km", {f"q{i}": (lambda n, i=i: F.floor((n - 1) * i / 4)) for i in range(5)})
     layers = layers.select(F.explode(F.array(*[F.struct(F.col(f"q{i}").alias("d"), F.lit(3.2 + 0.3 * i).alias("v")) for i in range(5)])).alias("s"))
     layers = layers.select(F.greatest(F.col("s.d") - 5.0, F.lit(0.0)).alias("depth_km"), F.col("s.v").alias("vs")).unionByName(
         st.agg(F.lit(200.0).alias("depth_km"), F.lit(4.6).alias("vs")))
-    return rounded(traveltime.travel_time_grid(layers, (200.0, 5.0), (40.0, 5.0), (3.0, 1.0), rays=32, up_rays=200))
+    grid = cut(traveltime.travel_time_grid(layers, (300.0, 10.0), (50.0, 5.0), (3.0, 1.0), rays=16, up_rays=100))
+    pairs = joins.event_station(cat, st)
+    return rounded(traveltime.travel_times(pairs, traveltime.GridModel(grid)).select("event_id", "stn_idx", "tt"))
 
 
 # ---- location and relocation -------------------------------------------------------------------
