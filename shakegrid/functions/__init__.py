@@ -1,10 +1,10 @@
 from .geo import (  # noqa: F401
-    cells_around,
     cell_id,
     error_ellipse,
     geodesic,
     haversine_km,
     km_errors,
+    look_around,
     with_geodesic,
     with_haversine,
 )

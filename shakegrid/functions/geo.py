@@ -205,31 +205,36 @@ def cell_id(lat, lon, size_km: float) -> Column:
     return row * _ROW + F.least(F.floor(_unit(lon) * n), n - 1)
 
 
-def cells_around(lat, lon, radius_km: float, size_km: float) -> Column:
-    """Numbers of every cell that can hold a point within ``radius_km``."""
-    lat, lon = col(lat), col(lon)
+def look_around(df: DataFrame, lat: str, lon: str, radius_km: float, size_km: float, name: str) -> DataFrame:
+    """One row per cell that can hold a point within ``radius_km``, its number in ``name``.
+
+    Latitude rows first, then the columns of each row, both in generated code. ``_half`` keeps the
+    half width of the disc in degrees of longitude for ``in_box``.
+    """
     step = _step_deg(size_km)
     reach = min(radius_km * (1 + 1e-9) / RADIUS_KM + 1e-12, math.pi)
     deg = math.degrees(reach)
     last = math.floor(180.0 / step)
-    row = lambda x: F.least(
-        F.greatest(F.floor((x + 90.0) / step), F.lit(0)), F.lit(last)
-    ).cast("bigint")
-    # Half width in longitude; whole circle when the disc holds a pole.
-    ratio = math.sin(min(reach, math.pi / 2)) / F.cos(F.radians(lat))
+    y, x = F.col(lat), F.col(lon)
+    row = lambda v: F.least(F.greatest(F.floor((v + 90.0) / step), F.lit(0)), F.lit(last)).cast("bigint")
+    # Half width in longitude; the whole circle when the disc holds a pole.
+    ratio = math.sin(min(reach, math.pi / 2)) / F.cos(F.radians(y))
     half = F.when(
-        (F.abs(lat) + deg < 90.0) & (ratio < 1), F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
+        (F.abs(y) + deg < 90.0) & (ratio < 1), F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
     ).otherwise(180.0)
-
-    def in_row(r: Column) -> Column:
-        n = _columns_in(r, step)
-        whole = half >= 179.999
-        first = F.when(whole, 0).otherwise(F.floor((lon - half + 180.0) / 360.0 * n)).cast("bigint")
-        end = F.when(whole, n - 1).otherwise(
-            F.least(F.floor((lon + half + 180.0) / 360.0 * n), first + n - 1)
-        ).cast("bigint")
-        return F.transform(F.sequence(first, end), lambda c: r * _ROW + F.pmod(c, n))
-
-    return F.array_distinct(
-        F.flatten(F.transform(F.sequence(row(lat - deg), row(lat + deg)), in_row))
-    )
+    df = df.withColumn("_half", half).withColumn("_row", F.explode(F.sequence(row(y - deg), row(y + deg))))
+    df = df.withColumn("_cols", _columns_in(F.col("_row"), step).cast("bigint"))
+    n, half = F.col("_cols"), F.col("_half")
+    whole = half >= 179.999
+    df = df.withColumn("_first", F.when(whole, 0).otherwise(F.floor((x - half + 180.0) / 360.0 * n)).cast("bigint"))
+    first = F.col("_first")
+    end = F.when(whole, n - 1).otherwise(F.least(F.floor((x + half + 180.0) / 360.0 * n), first + n - 1)).cast("bigint")
+    df = df.withColumn("_col", F.explode(F.sequence(first, end)))
+    return df.withColumn(name, F.col("_row") * _ROW + F.pmod("_col", n)).drop("_row", "_cols", "_first", "_col")
+
+
+def in_box(radius_km: float, lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Cheap bound for rows of ``look_around``: no point within the radius fails it."""
+    deg = math.degrees(radius_km / RADIUS_KM) * (1 + 1e-9) + 1e-9
+    turn = F.pmod(F.col(lon2) - F.col(lon1) + 540.0, F.lit(360.0)) - 180.0
+    return (F.abs(F.col(lat1) - F.col(lat2)) <= deg) & (F.abs(turn) <= F.col("_half") + 1e-9)

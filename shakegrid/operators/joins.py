@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.geo import cell_id, cells_around, haversine_km, with_geodesic, with_haversine
+from ..functions.geo import cell_id, haversine_km, in_box, look_around, with_geodesic, with_haversine
 from ..functions.times import minute_key, to_compact
-from ..session import small
+from ..session import small, spread
 
 BLOCK_ROWS = 2_000
 
@@ -61,7 +61,7 @@ def event_station(cat: DataFrame, stations: DataFrame, wgs84: bool = False) -> D
         F.col("dep_km").alias("stn_dep"), "sc",
     ).withColumn("_blk", F.floor(F.col("stn_idx") / BLOCK_ROWS))
     last = st.agg(F.max("_blk")).scalar()
-    ev = cat.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    ev = spread(cat, "event_id").withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     out = ev.join(small(st), "_blk").drop("_blk")
     measure = with_geodesic if wgs84 else with_haversine
     return measure(out, "lat", "lon", "stn_lat", "stn_lon", "dist_km", "azimuth")
@@ -101,21 +101,21 @@ def neighbors(cat: DataFrame, eps_km: float) -> DataFrame:
     Equi join on grid cells about ``eps_km`` wide; a crowded cell is cut into blocks and the
     events that look into it are copied once per block.
     """
-    points = cat.select("event_id", "lat", "lon").withColumn("_cell", cell_id("lat", "lon", eps_km))
+    points = spread(cat.select("event_id", "lat", "lon"), "event_id").withColumn("_cell", cell_id("lat", "lon", eps_km))
     target = _blocks(points, ["_cell"], ["event_id"], BLOCK_ROWS)
     crowd = target.groupBy("_cell").agg(F.max("_nblk").alias("_nblk"))
     probe = (
-        points.withColumn("_cell", F.explode(cells_around("lat", "lon", eps_km, eps_km)))
+        look_around(points, "lat", "lon", eps_km, eps_km, "_cell")
         .join(crowd, "_cell")
         .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nblk") - 1)))
-        .select("_cell", "_blk", F.col("event_id").alias("event_a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        .select("_cell", "_blk", F.col("event_id").alias("event_a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_half")
     )
     other = target.select(
         "_cell", "_blk", F.col("event_id").alias("event_b"), "lat", "lon"
     )
     return (
         probe.join(other, ["_cell", "_blk"])
-        .where(F.col("event_a") != F.col("event_b"))
+        .where((F.col("event_a") != F.col("event_b")) & in_box(eps_km, "_lat", "_lon", "lat", "lon"))
         .withColumn("dist_km", haversine_km("_lat", "_lon", "lat", "lon"))
         .where(F.col("dist_km") <= eps_km)
         .select("event_a", "event_b", "dist_km")
@@ -134,7 +134,7 @@ def triple_differences(
     ev = cat.where((F.col("cid") > 0) & (F.col("mode") != "ERR")).select(
         "event_id", "event_ord", "cid", "lat", "lon", (F.col("mode") == "REF").alias("ref")
     )
-    rows = lags.select("event_id", "stn_k", "stn_l", "lag").join(ev, "event_id")
+    rows = spread(lags.select("event_id", "stn_k", "stn_l", "lag"), "event_id", "stn_k", "stn_l", "lag").join(ev, "event_id")
     keys = ["cid", "stn_k", "stn_l"]
     if max_km is not None:
         rows = rows.withColumn("_cell", cell_id("lat", "lon", max_km))
@@ -146,7 +146,7 @@ def triple_differences(
         right = cells.withColumn("_b1", F.col("_blk")).drop("_blk", "_nblk")
         crowd = cells.groupBy(*keys).agg(F.max("_nblk").alias("_nblk"))
         left = (
-            rows.withColumn("_cell", F.explode(cells_around("lat", "lon", max_km, max_km)))
+            look_around(rows, "lat", "lon", max_km, max_km, "_cell")
             .join(crowd, keys)
             .withColumn("_b1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nblk") - 1)))
             .drop("_nblk")

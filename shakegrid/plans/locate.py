@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geo import DEG_KM
 from ..functions.measure import clamp_depth, residual_weight
 from ..operators.stats import best_candidate
-from ..session import cut, pin, small
+from ..session import cut, pin, small, spread
 from .traveltime import add_lag_times
 
 CHUNK = 4_096
@@ -30,7 +30,7 @@ def observations(lags: DataFrame, stations: DataFrame) -> DataFrame:
         named = {"lat": f"{end}_lat", "lon": f"{end}_lon", "dep_km": f"{end}_dep", "sc": f"{end}_sc", "stn_idx": f"stn_{end}"}
         out = out.join(st.select(*[F.col(a).alias(b) for a, b in named.items()]), f"stn_{end}")
     out = out.withColumn("chunk", F.floor(F.col("seq") / CHUNK))
-    return pin(out.repartition("event_id", "chunk"))
+    return pin(spread(out, "event_id", "chunk"))
 
 
 def _chunks(obs: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def locate_lsq(
         obs = obs.withColumn("ok", F.col("ok") & F.col("_far").isNull()).drop("_far")
         if state.where("open").isEmpty():
             break
-        obs = pin(obs.repartition("event_id", "chunk"))
+        obs = pin(spread(obs, "event_id", "chunk"))
     out = with_inverse3(state, {(i, j): F.col(f"a{i}{j}") for i, j in _PAIRS})
     var = F.col("cost") / F.col("n")
     out = out.withColumns({f"_s{i}": F.when(F.col(f"_i{i}{i}") >= 0, F.sqrt(var * F.col(f"_i{i}{i}"))) for i in range(3)})

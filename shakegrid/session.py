@@ -40,6 +40,11 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions by keys that are nearly unique, ahead of work that multiplies them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for ``df`` if it has at most ``rows`` rows, else ``df`` as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
