@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, simhash
-from .common import table
+from . import byte_bpe, chat, simhash, toxicity
+from .common import remainder, table
 
 Q: dict[str, tuple] = {}
 
@@ -41,3 +41,12 @@ def op7_byte_bpe(spark, sf):
 def op8_simhash(spark, sf):
     g = simhash.groups(table(spark, sf, "documents"))
     return g.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf, "labels"), ~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
