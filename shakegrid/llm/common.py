@@ -34,24 +34,27 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
-def append(df: DataFrame, column: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
-    """All columns of ``df`` and, behind them, what ``fn`` makes of the values of ``column``, piece by piece.
+def append(df: DataFrame, columns: str | list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]]) -> DataFrame:
+    """All columns of ``df`` and, behind them, what ``fn`` makes of the values of ``columns``, piece by piece.
 
-    A column of ``df`` with the name of a new field is replaced. Work stays in the task that reads the row.
+    The first of ``columns`` sets the size of a piece. A column of ``df`` with the name of a new field is replaced. Work
+    stays in the task that reads the row.
     """
+    columns = [columns] if isinstance(columns, str) else columns
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
-    inner = "__in"
-    while inner in keep:
-        inner += "_"
+    inner = [f"__in{i}" for i in range(len(columns))]
+    while {*inner} & {c.lower() for c in keep}:
+        inner = [x + "_" for x in inner]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, inner):
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + fn(part.column(inner)), names=[*keep, *(f.name for f in fields)])
+            for part in slices(batch, inner[0]):
+                made = fn(*(part.column(c) for c in inner))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *(f.name for f in fields)])
 
-    return df.select(*(df[c] for c in keep), df[column].alias(inner)).mapInArrow(run, schema)
+    return df.select(*(df[c] for c in keep), *(df[c].alias(x) for c, x in zip(columns, inner))).mapInArrow(run, schema)
 
 
 def remainder(doc_id, modulus: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, simhash, toxicity
+from . import byte_bpe, chat, kneser_ney, simhash, toxicity
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -50,3 +50,9 @@ def op10_toxicity(spark, sf):
     model = toxicity.train(docs, table(spark, sf, "labels"), ~held_out)
     scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op2_quality")
+def op2_quality(spark, sf):
+    judged = kneser_ney.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
