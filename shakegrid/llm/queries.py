@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, kneser_ney, simhash, toxicity
+from . import byte_bpe, chat, kneser_ney, simhash, toxicity, weighted_sampling
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -56,3 +56,8 @@ def op10_toxicity(spark, sf):
 def op2_quality(spark, sf):
     judged = kneser_ney.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark, sf):
+    return weighted_sampling.edited(table(spark, sf, "documents"))
