@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, kneser_ney, simhash, toxicity, weighted_sampling
+from . import byte_bpe, chat, html_text, kneser_ney, simhash, toxicity, weighted_sampling
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -61,3 +61,9 @@ def op2_quality(spark, sf):
 @query("op4_fingerprints")
 def op4_fingerprints(spark, sf):
     return weighted_sampling.edited(table(spark, sf, "documents"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf):
+    pages = html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
