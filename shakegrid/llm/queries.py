@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_text, kneser_ney, simhash, toxicity, weighted_sampling
+from . import byte_bpe, chat, embedding_dedup, html_text, kneser_ney, simhash, toxicity, weighted_sampling
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -67,3 +67,8 @@ def op4_fingerprints(spark, sf):
 def op5_html_text(spark, sf):
     pages = html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op1_embedding_dedup")
+def op1_embedding_dedup(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
