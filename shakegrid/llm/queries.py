@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, html_text, kneser_ney, simhash, toxicity, weighted_sampling
+from . import byte_bpe, chat, embedding_dedup, html_text, kneser_ney, mixing, pitman_yor, simhash, toxicity, weighted_sampling
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -54,8 +55,10 @@ def op10_toxicity(spark, sf):
 
 @query("op2_quality")
 def op2_quality(spark, sf):
-    judged = kneser_ney.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = kneser_ney.fit(docs, labels)
+    scored = kneser_ney.scores(docs, model)
+    return kneser_ney.judged(scored, kneser_ney.thresholds(scored, labels, model))
 
 
 @query("op4_fingerprints")
@@ -72,3 +75,17 @@ def op5_html_text(spark, sf):
 @query("op1_embedding_dedup")
 def op1_embedding_dedup(spark, sf):
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark, sf):
+    return pitman_yor.score(table(spark, sf, "documents"), remainder("doc_id", 7) == 2)
+
+
+@query("op9_mixing")
+def op9_mixing(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
+Q["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
