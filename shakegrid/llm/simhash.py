@@ -76,15 +76,30 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
 
 
-def groups(df: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row per row of ``df``: its id, fp (signed), component_id (smallest id reachable, itself included)."""
-    fp = cut(fingerprints(df.select(df[id_column].alias("id"), df[column].alias("text")), "text", size).select("id", "fp"))
+def _grouped(df: DataFrame, id_column: str, column: str, size: int, max_bits: int) -> DataFrame:
+    """(id, h, fp, root, component_id) of each row; h is a hash of the text, root the fingerprint that stands for the group."""
+    text = df.select(df[id_column].alias("id"), F.xxhash64(df[column]).alias("h"), df[column].alias("text"))
+    fp = cut(fingerprints(text, "text", size).select("id", "h", "fp"))
     nodes = cut(fp.groupBy("fp").agg(F.min("id").alias("first")))
     roots = cut(components(links(nodes.select("fp"), max_bits)))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    return fp.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def groups(df: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row per row of ``df``: its id, fp (signed), component_id (smallest id reachable, itself included)."""
+    g = _grouped(df, id_column, column, size, max_bits)
+    return g.select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def representatives(df: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of ``df`` for each group: that of the smallest id (ties: by a hash of the text; null ids only if there is no other)."""
+    of = F.struct(F.col("id").isNull(), "id", "h")
+    first = _grouped(df, id_column, column, size, max_bits).groupBy("root").agg(F.min(of).alias("x")).select("x.id", "x.h")
+    rows = df.withColumn("__h", F.xxhash64(df[column]))
+    kept = rows.join(first, rows[id_column].eqNullSafe(first["id"]) & rows["__h"].eqNullSafe(first["h"]), "left_semi")
+    return kept.dropDuplicates([id_column, "__h"]).drop("__h")
 
 
 def hex_fingerprint(fp):
