@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that a task turns into Python strings at once.
@@ -25,7 +26,11 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """``batch`` in consecutive pieces that hold about SLICE_BYTES of ``column`` each, one row at least."""
     if not batch.num_rows:
         return
-    sizes = [len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column).cast(pa.large_binary())]
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        sizes = [8 * (n or 0) for n in pc.list_value_length(values).to_pylist()]
+    else:
+        sizes = [n or 0 for n in pc.binary_length(values).to_pylist()]
     start, total = 0, 0
     for i, end in enumerate(accumulate(sizes)):
         if i > start and end - total > SLICE_BYTES:
