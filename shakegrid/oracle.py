@@ -67,7 +67,7 @@ INDEX = "(SELECT {by}value, row_number() OVER ({part}ORDER BY value) AS r, count
 TIMES = f"""pairs AS MATERIALIZED (SELECT c.event_id, c.cid, s.stn_idx, c.depth_km, s.dep_km AS stn_dep, s.sc,
   {km('c.lat', 'c.lon', 's.lat', 's.lon')} AS dist_km FROM catalog c CROSS JOIN stations s),
 times AS MATERIALIZED (SELECT event_id, stn_idx, sqrt(dist_km * dist_km + (depth_km - stn_dep) * (depth_km - stn_dep)) / 3.5e0 + sc AS tt FROM pairs)"""
-RESID = f"""{TIMES}, resid AS (SELECT l.event_id, l.seq, l.stn_k, l.stn_l, l.lag, l.weight, b.tt - a.tt AS calc, l.lag - (b.tt - a.tt) AS residual
+RESID = f"""{TIMES}, resid AS MATERIALIZED (SELECT l.event_id, l.seq, l.stn_k, l.stn_l, l.lag, l.weight, b.tt - a.tt AS calc, l.lag - (b.tt - a.tt) AS residual
   FROM lags l JOIN times a ON a.event_id = l.event_id AND a.stn_idx = l.stn_k JOIN times b ON b.event_id = l.event_id AND b.stn_idx = l.stn_l)"""
 TD_KM = 1.0
 TD = f"""ev AS MATERIALIZED (SELECT event_id, event_ord, cid, lat, lon, mode FROM catalog WHERE cid > 0 AND mode <> 'ERR'),

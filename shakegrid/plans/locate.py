@@ -89,16 +89,20 @@ def locate_search(
 ) -> DataFrame:
     """Random search in shrinking boxes around the best place so far.
 
-    Stage f tries n/stages points within +-1 degree and +-10 km times 0.5**f; the best one replaces
-    the place if it is strictly better. Result: place, ``rms`` = misfit, errors 0, mode GRD.
+    Stage f tries its share of the n points within +-1 degree and +-10 km times 0.5**f; the best one replaces
+    the place if it is strictly better. A place at which a lag has no time never wins. Result: place, ``rms`` =
+    misfit, errors 0, mode GRD; ``n_used`` and ``n_lost`` count the lags with and without a time there. An event
+    without lags, or without a place at which all have times, keeps its place with mode ERR.
     ``trace`` collects one (event_id, step, evaluations, residual) DataFrame per stage.
     """
     top = F.lit(bottom) if not isinstance(bottom, Column) else bottom
     state = events.select("event_id", *PLACE).join(_chunks(obs), "event_id")
-    first = misfit(_at_place(obs, state, model, wgs84)).select("event_id", "misfit")
+    first = _at_place(obs, state, model, wgs84).groupBy("event_id").agg(
+        F.when(F.count("residual") == F.count("*"), F.stddev_pop("residual")).alias("misfit"), F.count("residual").alias("n_used"), F.count("*").alias("_rows")
+    )
     state = cut(state.join(first, "event_id").withColumns({"top": top, "steps": F.lit(1)}))
-    per = n // stages
     for f in range(stages):
+        per = n // stages + (f < n % stages)
         half = 0.5**f
 
         def draw(c: str, lo: Column, hi: Column) -> Column:
@@ -120,21 +124,31 @@ def locate_search(
         )
         scored = scored.withColumn("misfit", F.when(F.col("_ok") == F.col("_n"), F.col("misfit"))).drop("_ok", "_n")
         here = state.select("event_id", F.lit(0).alias("ord"), "misfit", *PLACE)
-        best = best_candidate(here.unionByName(scored)).select("event_id", "misfit", *PLACE)
-        state = cut(
-            state.drop("misfit", *PLACE).join(best, "event_id").withColumn("steps", F.col("steps") + per)
-        )
+        best = best_candidate(here.unionByName(scored)).select("event_id", F.when(F.col("misfit") < float("inf"), F.col("misfit")).alias("misfit"), *PLACE)
+        state = state.drop("misfit", *PLACE).join(best, "event_id").withColumn("steps", F.col("steps") + per)
+        state = cut(state.withColumn("n_used", F.when(F.col("misfit").isNotNull(), F.col("_rows")).otherwise(F.col("n_used"))))
         if trace is not None:
             trace.append(state.select("event_id", F.lit(f).alias("step"), F.col("steps").alias("evaluations"), F.col("misfit").alias("residual")))
-    return state.select(
+    found = state.select(
         "event_id", *PLACE, *[F.lit(0.0).alias(c) for c in ("err_lat_km", "err_lon_km", "err_dep_km")],
-        F.col("misfit").alias("rms"), F.lit("GRD").alias("mode"), F.col("steps").alias("evaluations"),
+        F.col("misfit").alias("rms"), F.when(F.col("misfit").isNull(), "ERR").otherwise("GRD").alias("mode"), F.col("steps").alias("evaluations"),
+        "n_used", (F.col("_rows") - F.col("n_used")).alias("n_lost"),
     )
+    return _with_the_rest(found, events)
+
+
+def _with_the_rest(found: DataFrame, events: DataFrame) -> DataFrame:
+    """``found`` and the events that it lacks, at their place with mode ERR and counts of 0."""
+    zero = ("err_lat_km", "err_lon_km", "err_dep_km", "evaluations", "n_used", "n_lost", "n_samples")
+    rest = events.join(found.select("event_id"), "event_id", "left_anti")
+    value = lambda c, t: F.lit("ERR") if c == "mode" else F.lit(0) if c in zero else F.lit(False) if t == "boolean" else F.lit(None)
+    rest = rest.select(*[F.col(c) if c in ("event_id", *PLACE) else value(c, t).cast(t).alias(c) for c, t in found.dtypes])
+    return found.unionByName(rest)
 
 
 def _at_place(obs: DataFrame, state: DataFrame, model, wgs84: bool) -> DataFrame:
     rows = add_lag_times(_meet(obs, state), model, wgs84, slopes=False)
-    return rows.where(F.col("calc").isNotNull()).withColumn("residual", F.col("lag") - F.col("calc"))
+    return rows.withColumn("residual", F.col("lag") - F.col("calc"))
 
 
 # ---- least squares ---------------------------------------------------------------------------
@@ -184,7 +198,7 @@ def _repaired(depth: Column, top: Column, hyp_bottom: float, seed: int, step: in
 
 def locate_lsq(
     events: DataFrame, obs: DataFrame, model, *, bottom: float | Column = 0.01, hyp_bottom: float = HYP_BOTTOM,
-    max_iter: int = 20, rounds: int = 10, tol: float = 1e-8, seed: int = 0, wgs84: bool = True,
+    max_iter: int = 100, rounds: int = 10, tol: float = 1e-8, seed: int = 0, wgs84: bool = True,
     trace: list | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Damped least squares with outlier rounds (X06): (events, lag rows with ``weight``).
@@ -192,7 +206,10 @@ def locate_lsq(
     All events step together, one pass over their lags per iteration, each with its own damping.
     After convergence lag rows beyond twice the rms leave and the event starts again, at most
     ``rounds`` times. Settled events leave the passes. Errors come from rms^2 (J'J)^-1, 999 when
-    singular; weights are 1/|residual|, 0 for rows left out. Lags of weight 0 never take part.
+    singular; weights are 1/|residual|, 0 for rows left out. Lags of weight 0 never take part. A step at which fewer
+    lags have a time is never taken. ``n_used`` and ``n_lost`` count the lags that took part with and without a time at
+    the place found; ``converged`` tells whether the last steps ended by themselves. Events without lags keep their place
+    with mode ERR.
     """
     top = F.lit(bottom) if not isinstance(bottom, Column) else bottom
     infinity = F.lit(float("inf"))
@@ -200,7 +217,7 @@ def locate_lsq(
              **{c: F.lit(0.0) for c in _A + _B}, **{f"x_{c}": F.col(c) for c in PLACE}}
     obs = obs.withColumn("ok", F.col("weight") != 0)
     state = events.select("event_id", *PLACE).join(_chunks(obs), "event_id")
-    state = state.withColumns({"top": top, "open": F.lit(True), "round": F.lit(0), "steps": F.lit(0)})
+    state = state.withColumns({"top": top, "open": F.lit(True), "round": F.lit(0), "steps": F.lit(0), "converged": F.lit(False)})
     step_no = 0
     for turn in range(rounds):
         state = cut(state.withColumns({k: F.when(F.col("open"), v).otherwise(F.col(k)) if k in state.columns else v for k, v in fresh.items()}).withColumn("moving", F.col("open")))
@@ -213,8 +230,9 @@ def locate_lsq(
             sums = rows.groupBy("event_id").agg(*normal_sums())
             sums = sums.select("event_id", *[F.col(c).alias(f"_{c}") for c in _A + _B + ["cost", "n"]])
             new = state.where("moving").join(sums, "event_id", "left")
-            better = F.coalesce(F.col("_cost") < F.col("cost"), F.lit(False))
-            gain = (F.col("cost") - F.col("_cost")) <= tol * F.col("cost")
+            mean = lambda cost, n: F.col(cost) / F.greatest(F.col(n), F.lit(1))
+            better = F.coalesce((F.col("_n") >= F.col("n")) & (mean("_cost", "_n") < mean("cost", "n")), F.lit(False))
+            gain = (mean("cost", "n") - mean("_cost", "_n")) <= tol * mean("cost", "n")
             new = new.withColumns({"_better": better, "_small": better & F.coalesce(gain, F.lit(False)) & (F.col("cost") < infinity)})
             take = lambda c, old: F.when(F.col("_better"), c).otherwise(old)
             new = new.withColumns(
@@ -243,6 +261,7 @@ def locate_lsq(
                 trace.append(state.select("event_id", F.lit(step_no).alias("step"), F.col("steps").alias("evaluations"), F.sqrt(F.col("cost") / F.col("n")).alias("residual")))
             if state.where("moving").isEmpty():
                 break
+        state = state.withColumn("converged", F.when(F.col("open"), ~F.col("moving")).otherwise(F.col("converged")))
         # Rows beyond twice the rms leave; their events go on with the next round.
         seat = state.where("open").select("event_id", "n_chunk", *[F.col(f"x_{c}").alias(c) for c in PLACE], F.sqrt(F.col("cost") / F.col("n")).alias("_rms"))
         far = add_lag_times(_meet(obs.where("ok"), seat), model, wgs84, slopes=False)
@@ -262,7 +281,8 @@ def locate_lsq(
         if state.where("open").isEmpty():
             break
         obs = pin(spread(obs, "event_id", "chunk"))
-    out = with_inverse3(state, {(i, j): F.col(f"a{i}{j}") for i, j in _PAIRS})
+    part = obs.where("ok").groupBy("event_id").agg(F.count("*").alias("_rows"))
+    out = with_inverse3(state.join(part, "event_id", "left"), {(i, j): F.col(f"a{i}{j}") for i, j in _PAIRS})
     var = F.col("cost") / F.col("n")
     out = out.withColumns({f"_s{i}": F.when(F.col(f"_i{i}{i}") >= 0, F.sqrt(var * F.col(f"_i{i}{i}"))) for i in range(3)})
     singular = F.col("_s0").isNull() | F.col("_s1").isNull() | F.col("_s2").isNull()
@@ -272,7 +292,8 @@ def locate_lsq(
         (sd[1] * DEG_KM).alias("err_lat_km"), (sd[0] * DEG_KM * F.cos(F.radians("x_lat"))).alias("err_lon_km"), sd[2].alias("err_dep_km"),
         F.sqrt(var).alias("rms"),
         F.when((F.col("x_depth_km") > hyp_bottom) | (F.col("cost") == infinity), "ERR").otherwise("LMO").alias("mode"),
-        F.col("steps").alias("evaluations"), F.col("open").alias("rounds_exhausted"),
+        F.col("steps").alias("evaluations"), F.col("open").alias("rounds_exhausted"), F.col("n").alias("n_used"),
+        F.greatest(F.coalesce("_rows", F.lit(0)) - F.col("n"), F.lit(0)).alias("n_lost"), "converged",
     )
     seat = out.select("event_id", "n_chunk", *[F.col(f"x_{c}").alias(c) for c in PLACE])
     used = add_lag_times(_meet(obs, seat), model, wgs84, slopes=False).withColumn("residual", F.col("lag") - F.col("calc"))
@@ -280,7 +301,7 @@ def locate_lsq(
         "event_id", "seq", "stn_k", "stn_l", "lag", "calc", "residual",
         F.when(F.col("ok") & (F.col("residual") != 0), 1 / F.abs("residual")).when(F.col("ok"), 1e10).otherwise(0.0).alias("weight"),
     )
-    return placed, used
+    return _with_the_rest(placed, events), used
 
 
 def excluded_pairs(lags: DataFrame, stations: DataFrame) -> DataFrame:
@@ -307,7 +328,8 @@ def posterior(
 
     Self-normalised importance sampling: ``n`` normal draws around each start place with standard
     deviations ``spread`` (degrees, km). ``ess`` is the effective number of samples; a small one
-    marks events whose spread should be chosen anew.
+    marks events whose spread should be chosen anew. An event without a sample at which all its lags
+    have times keeps its place with mode ERR.
     """
     top = F.lit(bottom) if not isinstance(bottom, Column) else bottom
     state = events.select("event_id", *PLACE).join(_chunks(obs), "event_id").withColumn("top", top)
@@ -342,12 +364,13 @@ def posterior(
     spreads = weighed.join(means.select("event_id", *[f"mean_{c}" for c in PLACE]), "event_id").groupBy("event_id").agg(
         *[F.sqrt(F.sum(F.col("_w") * away(c)) / total).alias(f"sd_{c}") for c in PLACE]
     )
-    return means.join(spreads, "event_id").select(
+    found = means.join(spreads, "event_id").select(
         "event_id", *[F.col(f"best.{c}").alias(c) for c in PLACE],
         (F.col("sd_lat") * DEG_KM).alias("err_lat_km"), (F.col("sd_lon") * DEG_KM * F.cos(F.radians("best.lat"))).alias("err_lon_km"),
         F.col("sd_depth_km").alias("err_dep_km"), F.col("best.loglik").alias("loglik"), *[f"mean_{c}" for c in PLACE],
         "n_samples", "ess", F.lit("MCMC").alias("mode"),
     )
+    return _with_the_rest(found, events)
 
 
 def build_catalog(cat: DataFrame, located: DataFrame, job_mode: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import DEG_KM, with_geodesic, with_haversine
 from ..functions.measure import settle
-from ..session import small
+from ..session import cut, small
 
 MAX_SAMPLES = 2_000
 # Range where times must lie between d/10 and d/2 + 80 s, else a straight ray is taken.
@@ -80,40 +80,74 @@ class StraightModel:
         return df.withColumns(new).drop("_path", "_mid", "_v", "_vg")
 
 
+CORNERS = [f"t{k}{i}{j}" for k in (0, 1) for i in (0, 1) for j in (0, 1)]
+
+
 class GridModel:
-    """Bilinear look-up in the table of ``travel_time_grid``."""
+    """Look-up in the table of ``travel_time_grid``, linear in station depth, distance and depth.
 
-    def __init__(self, grid: DataFrame):
+    The upper edges belong to the table. Beyond it, and where no ray arrives, the time is that of the straight ray in
+    ``layers`` and ``{out}_straight`` is true; without ``layers`` it is null there.
+    """
+
+    def __init__(self, grid: DataFrame, layers: DataFrame | None = None):
         first = grid.select("dx", "dz", "ds").first()
-        self.grid, self.dx, self.dz, self.ds = grid, *first
+        end = grid.agg(F.max("dist_cell"), F.max("dep_cell"), F.max("stn_cell")).first()
+        self.grid, self.steps, self.last = grid, tuple(first), tuple(end)
+        self.straight = StraightModel(layer_samples(layers)) if layers is not None else None
 
     def add_times(self, df: DataFrame, dist: str, depth: str, stn_dep: str, out: str, slopes: bool = True) -> DataFrame:
-        cells = self.grid.select("stn_bin", "dist_cell", "dep_cell", "t00", "t10", "t01", "t11")
-        df = df.withColumns(
-            {
-                "stn_bin": F.floor(F.greatest(F.col(stn_dep), F.lit(0.0)) / self.ds + 0.5).cast("int"),
-                "dist_cell": F.floor(F.col(dist) / self.dx).cast("int"),
-                "dep_cell": F.floor(F.greatest(F.col(depth), F.lit(0.0)) / self.dz).cast("int"),
-            }
-        )
+        keys = ("dist_cell", "dep_cell", "stn_cell")
+        cells = self.grid.select(*keys, *CORNERS)
+        at = [F.col(dist), F.greatest(F.col(depth), F.lit(0.0)), F.greatest(F.col(stn_dep), F.lit(0.0))]
+        # A value on the upper edge belongs to the last cell.
+        place = {k: F.when(x == (n + 1) * w, n).otherwise(F.floor(x / w)).cast("int") for k, x, w, n in zip(keys, at, self.steps, self.last)}
+        df = df.withColumns(place)
         # The table does not grow with the catalogue; its size is checked all the same.
-        df = df.join(small(cells, 2_000_000), ["stn_bin", "dist_cell", "dep_cell"], "left")
-        u = F.col(dist) / self.dx - F.col("dist_cell")
-        w = F.greatest(F.col(depth), F.lit(0.0)) / self.dz - F.col("dep_cell")
-        near = F.col("t00") + u * (F.col("t10") - F.col("t00"))
-        far = F.col("t01") + u * (F.col("t11") - F.col("t01"))
-        new = {f"{out}_t": near + w * (far - near)}
+        df = df.join(small(cells, 2_000_000), list(keys), "left")
+        u, w, h = (x / step - F.col(k) for k, x, step in zip(keys, at, self.steps))
+        mix = lambda f, lo, hi: lo + f * (hi - lo)
+        c = {(i, j): mix(h, F.col(f"t0{i}{j}"), F.col(f"t1{i}{j}")) for i in (0, 1) for j in (0, 1)}
+        near, far = mix(u, c[0, 0], c[1, 0]), mix(u, c[0, 1], c[1, 1])
+        new = {f"{out}_t": mix(w, near, far)}
         if slopes:
-            east = (F.col("t10") - F.col("t00")) * (1 - w) + (F.col("t11") - F.col("t01")) * w
-            new[f"{out}_px"] = east / self.dx
-            new[f"{out}_pz"] = (far - near) / self.dz
-        return df.withColumns(new).drop("stn_bin", "dist_cell", "dep_cell", "t00", "t10", "t01", "t11")
+            new[f"{out}_px"] = mix(w, c[1, 0] - c[0, 0], c[1, 1] - c[0, 1]) / self.steps[0]
+            new[f"{out}_pz"] = (far - near) / self.steps[1]
+        df = df.withColumns(new).drop(*keys, *CORNERS)
+        if self.straight is None:
+            return df
+        df = self.straight.add_times(df, dist, depth, stn_dep, "_line", slopes)
+        missing = F.col(f"{out}_t").isNull()
+        df = df.withColumns({f"{out}_straight": missing, **{f"{out}_{x}": F.when(missing, F.col(f"_line_{x}")).otherwise(F.col(f"{out}_{x}")) for x in ("t", "px", "pz")[: 3 if slopes else 1]}})
+        return df.drop("_line_t", "_line_px", "_line_pz")
+
+
+def extent(events: DataFrame, stations: DataFrame, hyp_bottom: float = 100.0, margin_km: float = 150.0) -> tuple[float, float, float]:
+    """(distance, depth, station depth) in km that hold every event at every station, with room for a search.
+
+    The distance is a bound from the boxes around both; the table it asks for does not grow with the number of rows.
+    """
+    box = [d.agg(*(f(c) for c in ("lat", "lon") for f in (F.min, F.max))).first() for d in (events, stations)]
+    if None in (*box[0], *box[1]):
+        return margin_km, hyp_bottom, 0.0
+    lat, lon = (max(b[k + 1] for b in box) - min(b[k] for b in box) for k in (0, 2))
+    across = min(lon, 360.0 - lon) if lon > 180 else lon
+    depth = events.agg(F.max("depth_km")).first()[0]
+    deepest = stations.agg(F.max("dep_km")).first()[0]
+    return min(math.hypot(lat, across) * DEG_KM + margin_km, 20_040.0), max(hyp_bottom, depth or 0.0), max(deepest or 0.0, 0.0)
+
+
+def grid_model(layers: DataFrame, events: DataFrame, stations: DataFrame, hyp_bottom: float = 100.0, steps: tuple[float, float, float] = (2.0, 1.0, 0.5), **kw) -> GridModel:
+    """The layered model tabulated for these events and stations (X02, X03), written once."""
+    ends = extent(events, stations, hyp_bottom)
+    sides = [(max(1, math.ceil(end / step - 1e-9)) * step, step) for end, step in zip(ends, steps)]
+    return GridModel(cut(travel_time_grid(layers, *sides, **kw)), layers)
 
 
 def travel_times(pairs: DataFrame, model) -> DataFrame:
     """(event, station) rows with ``dist_km, depth_km, stn_dep, sc`` -> ``tt`` with the station term."""
     out = model.add_times(pairs, "dist_km", "depth_km", "stn_dep", "_s", slopes=False)
-    return out.withColumn("tt", F.col("_s_t") + F.col("sc")).drop("_s_t")
+    return out.withColumn("tt", F.col("_s_t") + F.col("sc")).drop("_s_t", "_s_straight")
 
 
 def partials(pairs: DataFrame, model) -> DataFrame:
@@ -150,7 +184,7 @@ def add_lag_times(df: DataFrame, model, wgs84: bool = True, slopes: bool = True)
     new = {"calc": (F.col("_l_t") + F.col("l_sc")) - (F.col("_k_t") + F.col("k_sc"))}
     if slopes:
         new.update({g: F.col(f"_l_{g}") - F.col(f"_k_{g}") for g in ("g_lon", "g_lat", "g_dep")})
-    extra = [f"_{e}_{x}" for e in "kl" for x in ("d", "az", "t", "px", "pz", "g_lon", "g_lat", "g_dep")]
+    extra = [f"_{e}_{x}" for e in "kl" for x in ("d", "az", "t", "px", "pz", "straight", "g_lon", "g_lat", "g_dep")]
     return settle(df, new).drop(*extra)
 
 
@@ -166,14 +200,15 @@ def _steps(end: float, step: float) -> Column:
 
 
 def travel_time_grid(
-    layers: DataFrame, dist: tuple[float, float] = (200.0, 2.0), depth: tuple[float, float] = (60.0, 1.0),
-    stn_depth: tuple[float, float] = (0.0, 0.5), rays: int = 64, up_rays: int = 600,
+    layers: DataFrame, dist: tuple[float, float] = (200.0, 2.0), depth: tuple[float, float] = (100.0, 1.0),
+    stn_depth: tuple[float, float] = (3.0, 0.5), rays: int = 64, up_rays: int = 600,
 ) -> DataFrame:
-    """First-arrival table of one model (X02): cells with the times at their four corners.
+    """First-arrival table of one model (X02): cells with the times at their eight corners.
 
-    ``dist``, ``depth`` and ``stn_depth`` are (end, step). Times beyond the reach of any ray are
-    straight-ray times up to 120 km and null beyond.
+    ``dist``, ``depth`` and ``stn_depth`` are (end, step); one cell at least in each direction. Times beyond the
+    reach of any ray are straight-ray times up to 120 km and null beyond.
     """
+    stn_depth = (max(stn_depth), stn_depth[1])
     spark = layers.sparkSession
     samples = layer_samples(layers)
     straight = StraightModel(samples)
@@ -269,20 +304,20 @@ def travel_time_grid(
     nodes = straight.add_times(nodes, "x", "zs", "zr", "_line", slopes=False)
     nodes = nodes.select(
         "stn_bin", "node", "src",
-        F.coalesce("t_ok", "t_any", F.when(F.col("x") <= NEAR_KM, F.col("_line_t"))).alias("t"),
+        # At equal depths the level path is one of the rays, and none of the families has it.
+        F.least(F.coalesce("t_ok", "t_any", F.when(F.col("x") <= NEAR_KM, F.col("_line_t"))), F.when(F.col("zs") == F.col("zr"), F.col("_line_t"))).alias("t"),
     )
-    # Four corners on one row: each node is a corner of up to four cells.
+    # Eight corners on one row: each node is a corner of up to eight cells.
     corners = nodes.select(
-        "stn_bin",
         F.explode(F.array(*[
-            F.struct((F.col("node") - i).alias("dist_cell"), (F.col("src") - j).alias("dep_cell"), F.lit(f"t{i}{j}").alias("corner"))
-            for i in (0, 1) for j in (0, 1)
+            F.struct((F.col("stn_bin") - k).alias("stn_cell"), (F.col("node") - i).alias("dist_cell"), (F.col("src") - j).alias("dep_cell"), F.lit(f"t{k}{i}{j}").alias("corner"))
+            for k in (0, 1) for i in (0, 1) for j in (0, 1)
         ])).alias("c"), "t",
     )
-    cell = corners.groupBy("stn_bin", "c.dist_cell", "c.dep_cell").agg(
-        *[F.max(F.when(F.col("c.corner") == n, F.col("t"))).alias(n) for n in ("t00", "t10", "t01", "t11")], F.count("*").alias("_n")
+    cell = corners.groupBy("c.stn_cell", "c.dist_cell", "c.dep_cell").agg(
+        *[F.max(F.when(F.col("c.corner") == n, F.col("t"))).alias(n) for n in CORNERS], F.count("*").alias("_n")
     )
-    return cell.where(F.col("_n") == 4).drop("_n").withColumns(
+    return cell.where(F.col("_n") == 8).drop("_n").withColumns(
         {"dx": F.lit(dist[1]), "dz": F.lit(depth[1]), "ds": F.lit(stn_depth[1])}
     )
 

@@ -511,11 +511,19 @@ def travel_times(spark, sf):
     return rounded(_times(spark, sf))
 
 
-@query("partials", using("catalog stations", f"""SELECT p.event_id, p.stn_idx, {r6('(p.depth_km - p.stn_dep) / sqrt(p.dist_km * p.dist_km + (p.depth_km - p.stn_dep) * (p.depth_km - p.stn_dep)) / 3.5e0')} AS g_dep,
-  {r6('t.tt')} AS tt FROM pairs p JOIN times t USING (event_id, stn_idx)""", TIMES))
+PATH = "sqrt(dist_km * dist_km + (depth_km - stn_dep) * (depth_km - stn_dep))"
+AZIMUTH = ("atan2(sin(radians(s_lon) - radians(lon)) * cos(radians(s_lat)), cos(radians(lat)) * sin(radians(s_lat))"
+           " - sin(radians(lat)) * cos(radians(s_lat)) * cos(radians(s_lon) - radians(lon)))")
+
+
+@query("partials", using("catalog stations", f"""SELECT event_id, stn_idx, {r6('-dist_km / path / 3.5e0 * sin(az) * 111.32e0 * cos(radians(lat))')} AS g_lon,
+  {r6('-dist_km / path / 3.5e0 * cos(az) * 111.32e0')} AS g_lat, {r6('(depth_km - stn_dep) / path / 3.5e0')} AS g_dep, {r6('path / 3.5e0 + sc')} AS tt
+  FROM (SELECT *, {PATH} AS path, {AZIMUTH} AS az FROM at)""",
+  f"""at AS MATERIALIZED (SELECT c.event_id, c.lat, c.lon, c.depth_km, s.stn_idx, s.lat AS s_lat, s.lon AS s_lon, s.dep_km AS stn_dep, s.sc,
+  {km('c.lat', 'c.lon', 's.lat', 's.lon')} AS dist_km FROM catalog c CROSS JOIN stations s)"""))
 def partials(spark, sf):
     pairs = joins.event_station(v.catalog(spark, sf), v.stations(spark, sf))
-    return rounded(traveltime.partials(pairs, STRAIGHT).select("event_id", "stn_idx", "g_dep", "tt"))
+    return rounded(traveltime.partials(pairs, STRAIGHT).select("event_id", "stn_idx", "g_lon", "g_lat", "g_dep", "tt"))
 
 
 @query("grid_travel_times")
@@ -526,9 +534,8 @@ def grid_travel_times(spark, sf):
     layers = layers.select(F.explode(F.array(*[F.struct(F.col(f"q{i}").alias("d"), F.lit(3.2 + 0.3 * i).alias("v")) for i in range(5)])).alias("s"))
     layers = layers.select(F.greatest(F.col("s.d") - 5.0, F.lit(0.0)).alias("depth_km"), F.col("s.v").alias("vs")).unionByName(
         st.agg(F.lit(200.0).alias("depth_km"), F.lit(4.6).alias("vs")))
-    grid = cut(traveltime.travel_time_grid(layers, (300.0, 10.0), (50.0, 5.0), (3.0, 1.0), rays=16, up_rays=100))
-    pairs = joins.event_station(cat, st)
-    return rounded(traveltime.travel_times(pairs, traveltime.GridModel(grid)).select("event_id", "stn_idx", "tt"))
+    model = traveltime.grid_model(layers, cat, st, steps=(10.0, 5.0, 1.0))
+    return rounded(traveltime.travel_times(joins.event_station(cat, st), model).select("event_id", "stn_idx", "tt"))
 
 
 # ---- location and relocation -------------------------------------------------------------------
@@ -536,7 +543,7 @@ def grid_travel_times(spark, sf):
 @query("locate_search")
 def locate_search(spark, sf):
     obs = locate.observations(v.lags(spark, sf, seq=True), v.stations(spark, sf))
-    return rounded(locate.locate_search(v.catalog(spark, sf), obs, STRAIGHT, stages=3, n=60, bottom=3.0, wgs84=False))
+    return rounded(locate.locate_search(v.catalog(spark, sf), obs, STRAIGHT, bottom=3.0, wgs84=False))
 
 
 @query("locate_lsq")
@@ -559,7 +566,7 @@ Q["excluded_pairs"] = (excluded_pairs, using("lags stations", """SELECT event_id
 @query("posterior")
 def posterior(spark, sf):
     obs = locate.observations(v.lags(spark, sf, seq=True), v.stations(spark, sf))
-    return rounded(locate.posterior(v.catalog(spark, sf), obs, STRAIGHT, n=40, bottom=3.0, wgs84=False))
+    return rounded(locate.posterior(v.catalog(spark, sf), obs, STRAIGHT, bottom=3.0, wgs84=False))
 
 
 @query("build_catalog", using("catalog", f"""SELECT event_id, {r6("CASE WHEN mode = 'GRD' THEN lat + 0.5e0 ELSE lat END")} AS lat, CASE mode WHEN 'GRD' THEN 'LMO' ELSE 'ERR' END AS mode FROM catalog"""))

@@ -92,16 +92,16 @@ def test_geodesic(spark):
 def test_grid_matches_closed_forms(spark):
     flat = spark.createDataFrame([(0.0, 3.5), (200.0, 3.5)], "depth_km double, vs double")
     grid = tt.travel_time_grid(flat, (100.0, 5.0), (20.0, 5.0), (0.0, 1.0))
-    for r in grid.collect():
-        assert abs(r.t00 - math.hypot(r.dist_cell * 5, r.dep_cell * 5) / 3.5) < 1e-3
+    for r in grid.where("stn_cell = 0").collect():
+        assert abs(r.t000 - math.hypot(r.dist_cell * 5, r.dep_cell * 5) / 3.5) < 1e-3
     # Constant gradient: the time between two points of a half space v = v0 + g z.
     v0, g = 3.0, 0.05
     lin = spark.createDataFrame([(0.0, v0), (300.0, v0 + g * 300)], "depth_km double, vs double")
     grid = tt.travel_time_grid(lin, (200.0, 5.0), (40.0, 5.0), (0.0, 1.0))
-    for r in grid.collect():
+    for r in grid.where("stn_cell = 0").collect():
         z, x = r.dep_cell * 5, r.dist_cell * 5
         want = math.acosh(1 + g * g * (x * x + z * z) / (2 * v0 * (v0 + g * z))) / g
-        assert abs(r.t00 - want) < 2e-3, (x, z, r.t00, want)
+        assert abs(r.t000 - want) < 2e-3, (x, z, r.t000, want)
 
 
 def test_grid_model_slopes_and_envelope(spark, tmp_path):
@@ -115,3 +115,53 @@ def test_grid_model_slopes_and_envelope(spark, tmp_path):
         assert path / 4.7 < r.tt < path / 3.1
     for r in model.add_times(q, "dist_km", "depth_km", "stn_dep", "s").collect():
         assert 0 < r.s_px < 1 / 3.2 + 1e-6
+
+
+CRUST = [(0.0, 3.2), (15.0, 3.2), (15.000001, 3.9), (35.0, 3.9), (35.000001, 4.49), (150.0, 4.6)]
+
+
+def test_grid_edges_and_beyond(spark):
+    layers = spark.createDataFrame(CRUST, "depth_km double, vs double")
+    grid = tt.travel_time_grid(layers, (60.0, 10.0), (40.0, 10.0), (2.0, 1.0), rays=16, up_rays=60).cache()
+    rows = [(60.0, 40.0, 2.0), (60.0, 0.0, 0.0), (0.0, 40.0, 1.3), (35.0, 12.0, 0.7), (61.0, 5.0, 0.0), (5.0, 75.0, 0.0), (5.0, 5.0, 3.5)]
+    q = spark.createDataFrame([(*r, 0.0) for r in rows], "dist_km double, depth_km double, stn_dep double, sc double")
+    inside = tt.GridModel(grid).add_times(q, "dist_km", "depth_km", "stn_dep", "s").collect()
+    assert [r.s_t is None for r in inside] == [False] * 4 + [True] * 3
+    every = tt.GridModel(grid, layers).add_times(q, "dist_km", "depth_km", "stn_dep", "s").collect()
+    assert [r.s_straight for r in every] == [False] * 4 + [True] * 3
+    for r in every:
+        path = math.hypot(r.dist_km, r.depth_km - r.stn_dep)
+        assert path / 4.7 < r.s_t < path / 3.1 and r.s_px is not None and r.s_pz is not None
+
+
+def test_no_event_is_lost(spark):
+    layers = spark.createDataFrame(CRUST, "depth_km double, vs double")
+    st = spark.createDataFrame([(i, 38.0 + 0.2 * (i % 3), 141.0 + 0.2 * (i // 3), 1.0 + 0.1 * i, 0.0) for i in range(9)], "stn_idx int, lat double, lon double, dep_km double, sc double")
+    ev = spark.createDataFrame([(1, 38.2, 141.2, 10.0), (2, 38.3, 141.1, 80.0), (3, 40.9, 141.2, 20.0), (4, 38.1, 141.3, 5.0)], "event_id bigint, lat double, lon double, depth_km double")
+    model = tt.grid_model(layers, ev, st, steps=(20.0, 10.0, 1.0), rays=16, up_rays=60)
+    lags = [(e, n, n, n + 1, 0.1 * n, 1.0) for e in (1, 2, 3) for n in range(8)]
+    obs = locate.observations(spark.createDataFrame(lags, "event_id bigint, seq int, stn_k int, stn_l int, lag double, weight double"), st)
+    assert locate.residual_table(obs, ev, model, wgs84=False).count() == 24
+    found = locate.locate_search(ev, obs, model, n=31, wgs84=False)
+    square, _ = locate.locate_lsq(ev, obs, model, rounds=1, max_iter=4, wgs84=False)
+    post = locate.posterior(ev, obs, model, n=40, wgs84=False)
+    for got in (found, square, post):
+        rows = {r.event_id: r for r in got.collect()}
+        assert sorted(rows) == [1, 2, 3, 4] and rows[4].mode == "ERR" and (rows[4].lat, rows[4].depth_km) == (38.1, 5.0)
+    rows = {r.event_id: r for r in square.collect()}
+    assert all(rows[e].n_used == 8 and rows[e].n_lost == 0 for e in (1, 2, 3)) and rows[4].n_used == 0
+    assert {r.evaluations for r in found.where("event_id < 4").collect()} == {32}
+
+
+def test_a_step_that_loses_lags_is_not_taken(spark):
+    """Two stations lie far west, beyond a table without fallback; lags pull the event east."""
+    layers = spark.createDataFrame(CRUST, "depth_km double, vs double")
+    st = spark.createDataFrame([(i, 38.0 + 0.1 * i, lon, 0.0, 0.0) for i, lon in enumerate((141.0, 141.1, 141.2, 139.72, 139.73))], "stn_idx int, lat double, lon double, dep_km double, sc double")
+    ev = spark.createDataFrame([(1, 38.2, 141.05, 10.0)], "event_id bigint, lat double, lon double, depth_km double")
+    pairs = [(a, b) for a in range(5) for b in range(a)]
+    lags = [(1, n, b, a, -3.0 if a < 3 else 9.0, 1.0) for n, (a, b) in enumerate(pairs)]
+    obs = locate.observations(spark.createDataFrame(lags, "event_id bigint, seq int, stn_k int, stn_l int, lag double, weight double"), st)
+    grid = tt.travel_time_grid(layers, (125.0, 5.0), (100.0, 10.0), (1.0, 1.0), rays=16, up_rays=60).cache()
+    got, used = locate.locate_lsq(ev, obs, tt.GridModel(grid), rounds=1, max_iter=12, wgs84=False)
+    row = got.first()
+    assert row.n_used == 10 and row.n_lost == 0 and used.where("calc is null").count() == 0

@@ -67,6 +67,9 @@ def test_conjugate_gradients_agree_with_dense(spark, shifted):
     b = relocate.solve_clusters(system, 1.0, zero, dense=1, steps=40).toPandas().sort_values("event_id")
     for c in ("d_lon", "d_lat", "d_dep"):
         np.testing.assert_allclose(a[c], b[c], rtol=1e-4, atol=1e-6)
+    for c in ("v_lon", "v_lat", "v_dep"):
+        np.testing.assert_allclose(a[c], b[c], rtol=0.05)
+    assert b.converged.all() and not relocate.solve_clusters(system, 1.0, zero, dense=1, steps=2).toPandas().converged.any()
 
 
 def test_select_td_covers_every_event(spark):
