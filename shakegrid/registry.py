@@ -518,8 +518,8 @@ AZIMUTH = ("atan2(sin(radians(s_lon) - radians(lon)) * cos(radians(s_lat)), cos(
 
 @query("partials", using("catalog stations", f"""SELECT event_id, stn_idx, {r6('-dist_km / path / 3.5e0 * sin(az) * 111.32e0 * cos(radians(lat))')} AS g_lon,
   {r6('-dist_km / path / 3.5e0 * cos(az) * 111.32e0')} AS g_lat, {r6('(depth_km - stn_dep) / path / 3.5e0')} AS g_dep, {r6('path / 3.5e0 + sc')} AS tt
-  FROM (SELECT *, {PATH} AS path, {AZIMUTH} AS az FROM at)""",
-  f"""at AS MATERIALIZED (SELECT c.event_id, c.lat, c.lon, c.depth_km, s.stn_idx, s.lat AS s_lat, s.lon AS s_lon, s.dep_km AS stn_dep, s.sc,
+  FROM (SELECT *, {PATH} AS path, {AZIMUTH} AS az FROM placed)""",
+  f"""placed AS MATERIALIZED (SELECT c.event_id, c.lat, c.lon, c.depth_km, s.stn_idx, s.lat AS s_lat, s.lon AS s_lon, s.dep_km AS stn_dep, s.sc,
   {km('c.lat', 'c.lon', 's.lat', 's.lon')} AS dist_km FROM catalog c CROSS JOIN stations s)"""))
 def partials(spark, sf):
     pairs = joins.event_station(v.catalog(spark, sf), v.stations(spark, sf))
