@@ -12,6 +12,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
+def _squash(x: np.ndarray) -> None:
+    """The sigmoid in place, by exp, which is several times as fast as tanh on float32."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> None:
+    x *= 2.0
+    _squash(x)
+    x *= 2.0
+    x -= 1.0
+
+
 def initial(size: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     p = {}
     for d in "fb":
@@ -31,10 +47,15 @@ def _run(pre: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: list | N
     h, out = np.zeros((n, k), pre.dtype), np.empty((steps, n, k), pre.dtype)
     for t in range(steps):
         hu = h @ u
-        gates = sigmoid(pre[t, :, : 2 * k] + hu[:, : 2 * k])
+        gates = pre[t, :, : 2 * k] + hu[:, : 2 * k]
+        _squash(gates)
         z, r = gates[:, :k], gates[:, k:]
-        new = np.tanh(pre[t, :, 2 * k :] + r * hu[:, 2 * k :])
-        nxt = new + z * (h - new)
+        new = r * hu[:, 2 * k :]
+        new += pre[t, :, 2 * k :]
+        _tanh(new)
+        nxt = h - new
+        nxt *= z
+        nxt += new
         if mask is not None:
             nxt *= mask[t][:, None]
         if keep is not None:
@@ -49,7 +70,8 @@ def forward(p: dict, pre_f: np.ndarray, pre_b: np.ndarray, mask: np.ndarray | No
     f = _run(pre_f, p["Uf"], mask, kf)
     b = _run(pre_b[::-1], p["Ub"], None if mask is None else mask[::-1], kb)[::-1]
     h = np.concatenate([f, b], axis=2)
-    hidden = np.tanh(h @ p["A"] + p["a"])
+    hidden = h @ p["A"] + p["a"]
+    _tanh(hidden)
     e = hidden @ p["v"]
     w = np.exp(e - e.max(axis=0))
     if mask is not None:

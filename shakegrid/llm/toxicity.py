@@ -3,18 +3,19 @@
 A word enters as evidence of the word and of its character 4-grams (log odds of the training documents that hold it,
 toxic against clean; in training without the document at hand) and as learned vectors of the word and of its 4-grams,
 by hash. Windows of 32 words overlap by 8 and cover the whole text; all are scored, attention pools each, and the
-largest logit of a text, calibrated, is its score. Only the text is an input.
+largest logit of a text, calibrated, is its score; a text without words scores zero. Only the text is an input.
 
 The network is fitted on the driver on at most TOXIC + CLEAN labelled documents of at most MAX_TRAIN_CHARS code points,
-picked by the hash of their ids. Texts are scored in the tasks that read them, nothing is shuffled. Null and empty texts
-have one window without words. Repeated rows are scored each; without labels of both kinds, all scores are the share
-of toxic labels (0 if there are none). Further columns pass through; one named like the output is replaced.
+picked by the hash of their ids. Texts are scored in the tasks that read them, nothing is shuffled. Null texts are empty.
+Repeated rows are scored each; without labels of both kinds, all scores are the share of toxic labels (0 if there are
+none). Further columns pass through; one named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ WINDOW, STRIDE, HIDDEN, TABLE, SIZE = 32, 24, 8, 4096, 4
 #: Largest training sample.
 TOXIC, CLEAN = 1500, 3000
 EPOCHS, BATCH, SEED = 10, 128, 7
-#: Words whose inputs a worker keeps, and windows that it runs at once.
-CACHE, AT_ONCE = 300_000, 4096
+#: Words whose inputs a worker keeps, windows that it gathers, and those that it runs at once.
+CACHE, HELD, AT_ONCE = 300_000, 4096, 1024
 
 
 def grams(word: bytes) -> list[bytes]:
@@ -64,13 +65,17 @@ class Model:
         self._rows = {}
 
     def inputs(self, ws: list[bytes]) -> np.ndarray:
-        p, x = self.params, np.zeros((len(ws), 3 + 2 * SIZE), np.float32)
-        for i, w in enumerate(ws):
-            gs = grams(w)
-            lo = [self.gram.get(g, 0.0) for g in gs]
-            x[i, 0], x[i, 1], x[i, 2] = self.word.get(w, 0.0), max(lo), sum(lo) / len(lo)
-            x[i, 3 : 3 + SIZE] = p["word"][zlib.crc32(w) % TABLE]
-            x[i, 3 + SIZE :] = p["gram"][[zlib.crc32(g) % TABLE for g in gs]].mean(axis=0)
+        p, of = self.params, [grams(w) for w in ws]
+        flat = [*chain.from_iterable(of)]
+        size = np.fromiter(map(len, of), np.int64, len(of))
+        first = np.cumsum(size) - size
+        lo = np.fromiter(map(self.gram.get, flat, repeat(0.0)), np.float32, len(flat))
+        slots = np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)) % TABLE
+        x = np.empty((len(ws), 3 + 2 * SIZE), np.float32)
+        x[:, 0] = np.fromiter(map(self.word.get, ws, repeat(0.0)), np.float32, len(ws))
+        x[:, 1], x[:, 2] = np.maximum.reduceat(lo, first), np.add.reduceat(lo, first) / size
+        x[:, 3 : 3 + SIZE] = p["word"][np.fromiter(map(zlib.crc32, ws), np.int64, len(ws)) % TABLE]
+        x[:, 3 + SIZE :] = np.add.reduceat(p["gram"][slots], first, axis=0) / size[:, None]
         return x
 
     def _ids(self, ws: list[bytes]) -> list[int]:
@@ -103,7 +108,7 @@ class Model:
                 for s in starts_of(n) if at + n == len(ws) else range(0, STRIDE << 12, STRIDE):
                     (filled if s + WINDOW <= n else part).append(ids[s : s + WINDOW])
                     (owner if s + WINDOW <= n else owners).append(k)
-                if len(filled) >= AT_ONCE or len(self._rows) > CACHE:
+                if len(filled) >= HELD or len(self._rows) > CACHE:
                     self._flush(filled, owner, part, owners, best)
                 if at + n == len(ws):
                     break
@@ -131,8 +136,8 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.params is None:
             return np.full(len(texts), self.rate)
-        a, b = self.scale
-        return gru.sigmoid(a * self.logits([words(t) for t in texts]).astype(np.float64) + b)
+        (a, b), ws = self.scale, [words(t) for t in texts]
+        return np.where([bool(w) for w in ws], gru.sigmoid(a * self.logits(ws).astype(np.float64) + b), 0.0)
 
 
 def fit(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model:
