@@ -7,8 +7,9 @@ generalised Jaccard similarity, the sum of least over the sum of greatest weight
 digits of each draw; the likeness of two is the share of equal draws.
 
 ``edited`` compares each text with itself after an edit and with the document behind it in descending order of ids
-(after the last, the first). Only ids and hashes are put in order, by ranges; each text then moves twice, to its id and
-to the id of its neighbour, where terms are counted and sampled without a further shuffle.
+(after the last, the first). Only ids, hashes and lengths are put in order, by ranges; each text then moves to its id, the
+first part that its neighbour takes of it to the neighbour's, and there terms are counted and sampled without a
+further shuffle.
 
 Null texts are empty; an empty text has an empty fingerprint, like that of another empty text and unlike any other.
 Null ids come last; rows with equal ids and different texts are ordered by a hash of the text. Repeated rows are one
@@ -32,7 +33,7 @@ NO_ID = -(1 << 63)
 
 
 def signatures(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, signature) from rows (keys, term, weight): term long, weight at least 1.
+    """(keys, signature) from rows (keys, term, weight): term long, weight at least 1; null weights draw nothing.
 
     The draws of a key are minima of numbers: the value in the upper half, the identity of the drawn pair in the lower.
     """
@@ -65,9 +66,13 @@ def signatures(weighted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def weighted_words(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """(keys, term, weight): hashes of the lower-cased words of each text and their counts."""
-    split = texts.select(*keys, F.explode(F.split(F.lower(column), SPACE)).alias("word")).where("word <> ''")
-    return split.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("weight"))
+    """(keys, term, weight): hashes of the lower-cased words of each text and their counts.
+
+    Blank pieces are one term without weight, so that an empty text keeps a row.
+    """
+    split = texts.select(*keys, F.explode(F.split(F.lower(column), SPACE)).alias("word"))
+    terms = split.groupBy(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).agg(F.count("*").alias("n"))
+    return terms.select(*keys, "term", F.when(F.col("term").isNotNull(), F.col("n")).alias("weight"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -97,24 +102,28 @@ def edited(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> Da
     """One row per row of ``df``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     parts = FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(df[column], F.lit(""))
-    rows = df.select(F.coalesce(df[id_column].cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64(text).alias("h"), df[id_column].alias("id"), text.alias("text"))
-    chain = cut(successors(rows.select("id0", "h").distinct(), parts))
-    texts = rows.repartition(parts, "id0", "h").groupBy("id0", "h").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    moved = texts.join(chain, ["id0", "h"]).repartition(parts, "nid", "nh")
-    pairs = moved.join(texts.select(F.col("id0").alias("nid"), F.col("h").alias("nh"), F.col("text").alias("other")), ["nid", "nh"])
-    keys = ["nid", "nh"]
+    rows = df.select(F.coalesce(df[id_column].cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = ["id0", "h"]
+    chain = cut(successors(rows.select(*keys).distinct(), parts))
+    texts = rows.repartition(parts, *keys).groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    changed = F.concat(F.left("text", n - half), F.left("other", half))
-    both = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), t.alias("text")) for i, t in enumerate((F.col("text"), changed))))).alias("x")
-    terms = weighted_words(pairs.select(*keys, both).select(*keys, "x.which", "x.text"), [*keys, "which"])
-    made = signatures(terms, [*keys, "which"]).groupBy(*keys).agg(
-        F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited_fingerprint")
-    )
-    info = pairs.select(*keys, "id0", "h", "id", "copies", n.cast("long").alias("n_chars"), F.sha2(changed, 256).alias("edited_sha256"))
-    found = info.join(made, keys, "left").fillna("", ["fingerprint", "edited_fingerprint"])
+    # each text learns how much the document before it takes, and only that much moves on
+    sizes = rows.select(*keys, half.alias("takes")).distinct()
+    takers = chain.join(sizes, keys).select(F.col("nid").alias("id0"), F.col("nh").alias("h"), F.col("id0").alias("to_id"), F.col("h").alias("to_h"), "takes")
+    given = texts.join(takers, keys).select("to_id", "to_h", F.left("text", F.col("takes")).alias("other")).repartition(parts, "to_id", "to_h")
+    pairs = texts.join(given.withColumnsRenamed({"to_id": "id0", "to_h": "h"}), keys)
+    pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("changed", F.concat(F.left("text", n - half), "other"))
+    # all that the result says of a pair goes along with its terms, so the texts are read once
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(("text", "changed"))))).alias("x")
+    info = [*keys, "copies", "n_chars", "sha"]
+    pairs = pairs.withColumn("sha", F.unhex(F.sha2("changed", 256))).select(*info, both).select(*info, "x.which", "x.text")
+    of = [F.coalesce(F.max(F.when(F.col("which") == i, F.col("signature"))), F.lit("")) for i in (0, 1)]
+    found = signatures(weighted_words(pairs, [*info, "which"]), [*info, "which"]).groupBy(*info).agg(of[0].alias("fingerprint"), of[1].alias("edited_fingerprint"))
     found = cut(found)
-    behind = found.select(F.col("id0").alias("nid"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
-    out = found.join(behind, keys).withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
+    behind = chain.join(found.select(F.col("id0").alias("nid"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint")), ["nid", "nh"])
+    out = found.join(behind.select(*keys, "next_fingerprint"), keys)
+    out = out.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    name = F.when(F.col("id0") != NO_ID, F.col("id0")).alias(id_column)
+    return out.select(name, "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
