@@ -215,7 +215,7 @@ def test_word_probabilities_sum_to_one(spark):
 
 
 def test_seating_bounds():
-    rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 10_000, 1_000_000], dtype=float)
-    t = pitman_yor.seat(c, np.full(6, 0.7), 0.5, rng)
+    c, keys = np.array([0, 1, 2, 50, 10_000, 1_000_000], dtype=float), np.arange(6, dtype=np.uint64)
+    t = pitman_yor.seat(c, np.full(6, 0.7), 0.5, keys)
+    assert (t == pitman_yor.seat(c, np.full(6, 0.7), 0.5, keys)).all()
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
