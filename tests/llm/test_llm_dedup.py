@@ -189,3 +189,31 @@ def test_schedule_stays_within_a_block():
     rows = mixing.plan({1: 50, 2: 10, 3: 7}, {1: 1.0, 2: 1.0, 3: 3.0})
     taken = [base + j // m * period + slots[j % m] for _, first, last, base, period, m, slots in rows for j in range(last - first + 1)]
     assert sorted(taken) == list(range(67))
+
+
+@pytest.mark.parametrize("weights", [
+    {"s0": 0.5, **{f"s{i}": 0.5 / 19 for i in range(1, 20)}}, {"a": 0.001, "b": 0.999}, {f"s{i}": float(1 + i % 7) ** 0.5 for i in range(450)},
+])
+def test_mixture_stays_within_a_block_of_its_target(weights):
+    """Against the exact target weights, over a long run, until the first source runs out."""
+    slots, total = 20_000, sum(weights.values())
+    sources = [(s, max(1, int(slots * w / total)), w) for s, w in weights.items()]
+    most = min(n / w for _, n, w in sources) * total  # the first source runs out then
+    placed = list(mixing.schedule(sources))
+    assert [t for _, _, t in placed] == list(range(sum(n for _, n, _ in sources)))
+    gone = dict.fromkeys(weights, 0)
+    names, exact = list(weights), np.array([w / total for w in weights.values()])
+    for s, j, t in placed:
+        assert j == gone[s]
+        gone[s] += 1
+        if t + 1 <= most and (t % 7 == 0 or t < 2_000):
+            assert np.abs(np.array([gone[x] for x in names]) - exact * (t + 1)).max() < 1 + 1e-9
+
+
+def test_mixture_of_many_sources_and_of_unnamed_ones(spark):
+    rows = [(i, f"t{i}", "en", f"s{i % 260}", 1, "x", "y") for i in range(260 * 12)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block=4).collect()
+    assert len({(r.source, r.mix_block) for r in got}) == len({r.mix_slot for r in got}) == 260 * 3
+    targets = {"s1": 3.0, "s2": 1.0, "s3": 0.0}
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), targets, block=4).collect()
+    assert {r.source for r in got if r.mix_slot < 6} == {"s1", "s2"} and len({r.mix_position for r in got}) == len(rows)
