@@ -3,9 +3,9 @@
 Vectors are compared where labels are equal and not null. Equal vectors are one class. The classes of a label are dealt
 by hash into shards of about SHARD; a task builds the graph of one shard and writes it to the shared folder. The
 classes also form blocks of queries, and each block meets each shard of its label in a task that holds one of each. The
-beam of a query is widened while all of it are links, and that of the whole block until an audit, every AUDIT-th query
-against the whole shard, finds RECALL of the true links. A query that fills a beam of WIDEST is compared with its whole
-shard. Cosines near the threshold are verified in double precision. A task hands on counts of links and, of the links
+beam of a query is widened while all of it are links. A query that fills a beam of WIDEST is compared with its whole
+shard. Of the other queries of a block, those that the graph alone answered, every AUDIT-th and at least AUDITED are
+held against the whole shard, and the beam of the block is widened until the share RECALL of those with links has all of them. Cosines near the threshold are verified in double precision. A task hands on counts of links and, of the links
 themselves, one for each point that it joined to others, so groups of near copies are never written out as pairs.
 
 Vectors that are null, zero, empty or hold null or non-finite components, and rows with a null label or id, link with
@@ -26,7 +26,7 @@ from .components import components
 from .hnsw import Graph
 
 SHARD, BLOCK = 16_384, 4_096
-BEAM, WIDEST, AUDIT, RECALL = 64, 512, 16, 0.995
+BEAM, WIDEST, AUDIT, AUDITED, RECALL = 64, 512, 16, 64, 0.995
 #: Queries that walk a graph at once.
 TOGETHER = 256
 LINKS = "kind string, a long, b long"
@@ -55,18 +55,21 @@ class Union:
                 self.root = self.root[self.root]
 
 
-def near(graph: Graph, q: np.ndarray, limit: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(query, point) arrays, batch by batch, of all that are at least about ``limit`` similar, as the audit allows."""
-    n, out = len(graph.x), []
-    audit = np.arange(0, len(q), AUDIT)
+def near(graph: Graph, q: np.ndarray, limit: float, same: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, point) arrays, batch by batch, of all that are at least about ``limit`` similar, as the audit allows.
+
+    ``same`` has the point that is the query itself, -1 if none; it does not count in the audit.
+    """
+    n = len(graph.x)
     beam = min(BEAM, n)
     while True:
-        out, found, true = [], 0, 0
+        out, walked = [], np.ones(len(q), bool)
         for at in range(0, len(q), TOGETHER):
             part = q[at : at + TOGETHER]
             rows, hits, width = np.arange(len(part)), [], beam
             while len(rows):
                 if width > WIDEST or width >= n:
+                    walked[rows + at] = False
                     r, p = np.nonzero(part[rows] @ graph.x.T >= limit)
                     hits.append((rows[r], p))
                     break
@@ -78,14 +81,28 @@ def near(graph: Graph, q: np.ndarray, limit: float) -> list[tuple[np.ndarray, np
                 rows, width = rows[full], width * 2
             a, b = (np.concatenate([h[i] for h in hits]) for i in range(2))
             out.append((a + at, b))
-            checked = audit[(audit >= at) & (audit < at + len(part))]
-            true += int((q[checked] @ graph.x.T >= limit).sum())
-            found += int(np.isin(a + at, checked).sum())
-        if found >= RECALL * true or beam > WIDEST or beam >= n:
+        if beam > WIDEST or beam >= n or whole(graph, q, limit, same, np.flatnonzero(walked), out) >= RECALL:
             return out
         beam *= 2
 
 
+def whole(graph: Graph, q: np.ndarray, limit: float, same: np.ndarray | None, walked: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """Share of the audited among ``walked`` queries, of those that have links, whose links are all in ``out``."""
+    audited = walked[:: max(1, min(AUDIT, len(walked) // AUDITED))]
+    place = np.full(len(q), -1)
+    place[audited] = np.arange(len(audited))
+    true = q[audited] @ graph.x.T >= limit + 5e-6  # products in another order differ by less than that
+    if same is not None:
+        own = np.flatnonzero(same[audited] >= 0)
+        true[own, same[audited[own]]] = False
+    missed = true.copy()
+    for a, b in out:
+        of = place[a] >= 0
+        missed[place[a[of]], b[of]] = False
+    having = true.any(axis=1).sum()
+    return 1.0 if not having else 1 - missed.any(axis=1).sum() / having
+
+
 def build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     x, norm = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
@@ -105,7 +122,7 @@ def query(threshold: float):
         place = {r: i for i, r in enumerate(reps)}
         same = np.array([place.get(r, -1) for r in own])
         union.join(np.flatnonzero(same >= 0) + n, same[same >= 0])
-        for a, b in near(graph, q, threshold - 1e-5):
+        for a, b in near(graph, q, threshold - 1e-5, same):
             close = np.abs(np.einsum("nk,nk->n", q[a], graph.x[b]) - threshold) < 2e-5
             if close.any():
                 i, j = a[close], b[close]

@@ -217,3 +217,27 @@ def test_mixture_of_many_sources_and_of_unnamed_ones(spark):
     targets = {"s1": 3.0, "s2": 1.0, "s3": 0.0}
     got = mixing.mix(spark.createDataFrame(rows, DOCS), targets, block=4).collect()
     assert {r.source for r in got if r.mix_slot < 6} == {"s1", "s2"} and len({r.mix_position for r in got}) == len(rows)
+
+
+def test_audit_is_not_hidden_by_a_huge_group():
+    rng = np.random.default_rng(4)
+    huge = rng.normal(size=32) + 0.01 * rng.normal(size=(700, 32))
+    lone = rng.normal(size=(700, 32))
+    x, _ = embedding_dedup.unit(np.concatenate([huge, lone, lone + 0.01 * rng.normal(size=lone.shape)]))
+
+    class Lossy:
+        """Finds all, but no partner of a pair in a beam below 128."""
+
+        def __init__(self):
+            self.x = x
+
+        def beam(self, q, width):
+            sims = q @ x.T
+            if width < 128:
+                r, c = np.nonzero((sims > 0.9) & (sims < 0.999999) & ((sims > 0.9).sum(axis=1) == 2)[:, None])
+                sims[r, c] = -1
+            ids = np.argsort(-sims, axis=1)[:, :width]
+            return ids, np.take_along_axis(sims, ids, axis=1)
+
+    found = {(int(a), int(b)) for part in embedding_dedup.near(Lossy(), x, 0.93) for a, b in zip(*part)}
+    assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.93))}
