@@ -2,7 +2,8 @@
 
 A word enters as evidence of the word and of its character 4-grams (log odds of the training documents that hold it,
 toxic against clean; in training without the document at hand) and as learned vectors of the word and of its 4-grams,
-by hash. Windows of 32 words overlap by 8 and cover the whole text; all are scored, attention pools each, and the
+by hash. A word longer than LONG bytes enters as pieces of that length that overlap by SHARED, each as a word of its own,
+so texts without white space are read to their end. Windows of 32 words overlap by 8 and cover the whole text; all are scored, attention pools each, and the
 largest logit of a text, calibrated, is its score; a text without words scores zero. Only the text is an input.
 
 The network is fitted on the driver on at most TOXIC + CLEAN labelled documents of at most MAX_TRAIN_CHARS code points,
@@ -26,6 +27,8 @@ from .common import append, words
 from .sampling import labelled
 
 WINDOW, STRIDE, HIDDEN, TABLE, SIZE = 32, 24, 8, 4096, 4
+#: Bytes of the longest word that enters whole, and those that two pieces of a longer one share.
+LONG, SHARED = 64, 16
 #: Largest training sample.
 TOXIC, CLEAN = 1500, 3000
 EPOCHS, BATCH, SEED = 10, 128, 7
@@ -33,8 +36,16 @@ EPOCHS, BATCH, SEED = 10, 128, 7
 CACHE, HELD, AT_ONCE = 300_000, 4096, 1024
 
 
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text, long ones in pieces; all 4-grams inside a word are inside a piece."""
+    ws = words(text)
+    if not any(len(w) > LONG for w in ws):
+        return ws
+    return [*chain.from_iterable([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w) - SHARED, LONG - SHARED)) for w in ws)]
+
+
 def grams(word: bytes) -> list[bytes]:
-    w = b"^" + word[:64] + b"$"
+    w = b"^" + word + b"$"
     return [w[i : i + 4] for i in range(max(1, len(w) - 3))]
 
 
@@ -136,7 +147,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.params is None:
             return np.full(len(texts), self.rate)
-        (a, b), ws = self.scale, [words(t) for t in texts]
+        (a, b), ws = self.scale, [tokens(t) for t in texts]
         return np.where([bool(w) for w in ws], gru.sigmoid(a * self.logits(ws).astype(np.float64) + b), 0.0)
 
 
@@ -145,7 +156,7 @@ def fit(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model
     model = Model(n_toxic / max(1, n_toxic + n_clean))
     if not toxic or not clean:
         return model
-    texts = [words(t) for t in toxic + clean]
+    texts = [tokens(t) for t in toxic + clean]
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     pos, neg = Counter(), Counter()
     for ws, label in zip(texts, y):

@@ -219,3 +219,19 @@ def test_seating_bounds():
     t = pitman_yor.seat(c, np.full(6, 0.7), 0.5, keys)
     assert (t == pitman_yor.seat(c, np.full(6, 0.7), 0.5, keys)).all()
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+
+
+def test_toxicity_reads_long_words_to_their_end():
+    word = "".join(random.Random(2).choices("abcdefgh", k=1000)).encode()
+    pieces = toxicity.tokens(word.decode())
+    assert {word[i : i + 4] for i in range(len(word) - 3)} <= {g for w in pieces for g in toxicity.grams(w)}
+    assert max(map(len, pieces)) <= toxicity.LONG and toxicity.tokens("a " + "b" * 64) == [b"a", b"b" * 64] and toxicity.tokens(None) == []
+    for n in (65, 111, 112, 113, 160, 161):
+        assert toxicity.tokens("c" * n)[-1] and sum(map(len, toxicity.tokens("c" * n))) >= n
+    rnd = random.Random(3)
+    texts = ["_".join(t.split()[:40]) + "_" for t in spelled(400, 8)]
+    label = [i % 3 == 0 for i in range(400)]
+    texts = [t + (rnd.choice(["zugzugo", "qvramx"]) if y else "") + "_in" for t, y in zip(texts, label)]
+    fitted = [[t for t, y in zip(texts[:300], label) if y == v] for v in (True, False)]
+    model = toxicity.fit(*fitted, *map(len, fitted))
+    assert np.mean((model.scores(texts[300:]) >= 0.3) == np.array(label[300:])) > 0.9
