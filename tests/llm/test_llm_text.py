@@ -235,3 +235,16 @@ def test_toxicity_reads_long_words_to_their_end():
     fitted = [[t for t, y in zip(texts[:300], label) if y == v] for v in (True, False)]
     model = toxicity.fit(*fitted, *map(len, fitted))
     assert np.mean((model.scores(texts[300:]) >= 0.3) == np.array(label[300:])) > 0.9
+
+
+def test_seating_is_sampled():
+    """Against the mean and variance of customers that come in one by one; counts are sampled at every size."""
+    keys = np.array([zlib.crc32(str(i).encode()) << 20 for i in range(6000)], np.uint64)
+    for n, mass in ((400, 60.0), (3000, 900.0)):
+        t = pitman_yor.seat(np.full(len(keys), float(n)), np.full(len(keys), mass), 0.0, keys)
+        p = mass / (mass + np.arange(1, n))
+        assert abs(t.mean() / (1 + p.sum()) - 1) < 0.1 and 0.8 < t.var() / (p * (1 - p)).sum() < 1.4
+    for n, p in ((50, 0.3), (1000, 0.999), (100_000, 0.02)):
+        x = pitman_yor.binomial(np.full(len(keys), float(n)), np.full(len(keys), p), keys, 40)
+        assert abs(x.mean() - n * p) < 5 * (n * p * (1 - p) / len(keys)) ** 0.5 and 0.9 < x.var() / (n * p * (1 - p)) < 1.1
+    assert pitman_yor.SWEEPS == 4
