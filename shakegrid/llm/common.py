@@ -22,8 +22,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in consecutive pieces that hold about SLICE_BYTES of ``column`` each, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive pieces that hold about ``size`` bytes of ``column`` each, one row at least."""
     if not batch.num_rows:
         return
     values = batch.column(column)
@@ -33,16 +33,16 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         sizes = [n or 0 for n in pc.binary_length(values).to_pylist()]
     start, total = 0, 0
     for i, end in enumerate(accumulate(sizes)):
-        if i > start and end - total > SLICE_BYTES:
+        if i > start and end - total > size:
             yield batch.slice(start, i - start)
             start, total = i, end - sizes[i]
     yield batch.slice(start)
 
 
-def append(df: DataFrame, columns: str | list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, columns: str | list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]], size: int = SLICE_BYTES) -> DataFrame:
     """All columns of ``df`` and, behind them, what ``fn`` makes of the values of ``columns``, piece by piece.
 
-    The first of ``columns`` sets the size of a piece. A column of ``df`` with the name of a new field is replaced. Work
+    The first of ``columns`` sets the size of a piece, about ``size`` bytes. A column of ``df`` with the name of a new field is replaced. Work
     stays in the task that reads the row.
     """
     columns = [columns] if isinstance(columns, str) else columns
@@ -55,7 +55,7 @@ def append(df: DataFrame, columns: str | list[str], fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, inner[0]):
+            for part in slices(batch, inner[0], size):
                 made = fn(*(part.column(c) for c in inner))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *(f.name for f in fields)])
 

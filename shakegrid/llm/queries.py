@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, html_text, kneser_ney, mixing, pitman_yor, simhash, toxicity, weighted_sampling
+from . import byte_bpe, chat, conversation_trie, embedding_dedup, html_text, kneser_ney, mixing, pitman_yor, prefix_tokens, simhash, toxicity, weighted_sampling, zone_centroids
+from ..session import cut
 from .common import remainder, table
 
 Q: dict[str, tuple] = {}
@@ -116,4 +117,70 @@ def op9_mixing(spark, sf):
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
+@query("op11_token_counts")
+def op11_token_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = prefix_tokens.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    n = prefix_tokens.tokens_at().cast("long")
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"), prefix_tokens.longest_within(2048).cast("long").alias("kept_chars"))
+
+
+# The remainder of a CRC-32: for each byte, it is mixed in, then eight bits are shifted out.
+TRIE_SQL = r"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, xor(list_reduce(s, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 4 AS h FROM steps),
+r AS (SELECT c.conv_id, pos, role, said FROM c JOIN t ON t.conv_id = c.conv_id - (c.conv_id % 20 + 20) % 20 AND pos <= h
+  UNION ALL SELECT conv_id, pos, role, said FROM c JOIN t USING (conv_id) WHERE pos > h),
+p AS (SELECT c.conv_id, coalesce(list({'role': role, 'said': said} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+n AS (SELECT path[1:d] AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '') AS ends
+  FROM p, unnest(range(0, len(path) + 1)) u(d) GROUP BY 1, 2),
+k AS (SELECT n.node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.node, depth, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+  CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.node[depth].said, '[^ 	-
+]+')) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.node = n.node),
+s AS (SELECT w.node[1:d] AS node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM w, unnest(range(0, depth + 1)) u(d) GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.node = n.node LEFT JOIN k ON k.node = n.node LEFT JOIN n up ON n.depth > 0 AND up.node = n.node[1:n.depth - 1]"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12_conversation_trie(spark, sf):
+    paths = cut(conversation_trie.paths(table(spark, sf, "conversations")))
+    return conversation_trie.trie(conversation_trie.rebuilt(paths))
+
+
+def centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds one after another: all distances, the nearest, the floor of the mean."""
+    def assign(i: int) -> str:
+        return f"""d{i} AS MATERIALIZED (SELECT vec_id, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{i} m ON m.i = v.i GROUP BY vec_id, c),
+a{i} AS MATERIALIZED (SELECT vec_id, min(c) AS cluster, min(d) AS distance FROM d{i} JOIN (SELECT vec_id, min(d) AS d FROM d{i} GROUP BY vec_id) USING (vec_id, d) GROUP BY vec_id)"""
+
+    steps = [assign(0)]
+    for i in range(rounds):
+        steps.append(f"""s{i} AS (SELECT cluster AS c, i, sum(x) AS s, count(*) AS n FROM a{i} JOIN v USING (vec_id) GROUP BY cluster, i),
+m{i + 1} AS MATERIALIZED (SELECT m.c, m.i, coalesce((s - (s % n + n) % n) // n, m.x)::BIGINT AS x FROM m{i} m LEFT JOIN s{i} s ON s.c = m.c AND s.i = m.i)""")
+        steps.append(assign(i + 1))
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(list_transform(x, lambda y: CAST(floor(1024 * y) AS BIGINT))) AS x FROM e),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM e ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+m0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN v USING (vec_id)),
+{", ".join(steps)},
+t AS (SELECT cluster, sum(distance) AS own FROM a{rounds} GROUP BY cluster),
+g AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(distance) FROM a{rounds}) AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN t ON t.cluster = a.cluster JOIN g ON g.c = a.cluster"""
+
+
+@query("op13_centroids", centroid_sql())
+def op13_centroids(spark, sf):
+    return zone_centroids.cluster(table(spark, sf, "embeddings"))
+
+
 Q["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
