@@ -5,7 +5,7 @@ tokens of an encoded word encode what they cover, and two tokens may be neighbou
 the same two. So one pass over a word suffices: ``inner`` holds, for each prefix that goes on, its only possible last
 token and its count; ``final``, for each prefix that ends there, the count with the one ending token that fits behind an
 inner prefix. Words are independent, so the count at a place of a text is that of the words before and of the begun one.
-Tables of words between white space are kept (up to CACHE_CHARS characters a worker, then afresh); a text's table is
+Tables of words between white space are kept (the latest CACHE_CHARS to twice as many characters a worker); a text's table is
 theirs with running sums. Nothing is ever encoded again: ``tokens_at`` reads a count, ``longest_within`` the longest prefix for
 a budget.
 
@@ -41,7 +41,7 @@ CLASSED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\ue001]+|[0-9\ue002]|[^A-Z
 GAP = re.compile(f"[{SPACES}]+")
 IS_SPACE = np.array([bool(GAP.match(chr(c))) for c in range(0x3002)])
 END = "\u0100"
-CACHE_CHARS, CACHE_PAIRS, CACHED = 4_000_000, 500_000, 200
+CACHE_CHARS, CACHE_PAIRS, CACHED = 2_000_000, 500_000, 200
 NONE: dict[str, bool] = {}
 #: Bytes of text that a task tables at once; a table takes four bytes a code point, twice.
 SLICE = 1 << 20
@@ -131,6 +131,8 @@ class Counter:
         self.asked = 0
         self.words: dict[str, list[int]] = {}
         self.tables: dict[str, tuple[bytes, int]] = {}
+        #: What was kept before: used words come back from it, the others go when the newer caches are full.
+        self.older: tuple[dict, dict] = {}, {}
         self.kept = 0
 
     @staticmethod
@@ -204,6 +206,8 @@ class Counter:
     def word(self, text: str) -> list[int]:
         """Counts at the prefixes of 1, 2, ... characters of a word of the pattern."""
         counts = self.words.get(text)
+        if counts is None and (counts := self.older[0].get(text)):
+            self.words[text] = counts
         if counts is None:
             if text.isascii():
                 counts = self.prefix_table(text)
@@ -252,6 +256,18 @@ class Counter:
 
     def chunk(self, chunk: str) -> tuple[bytes, int]:
         """Counts (int32) at the prefixes of text without white space, and of the whole; -1 where it can't be cut."""
+        out = self.older[1].get(chunk)
+        if out is None:
+            out = self.counted(chunk)
+        if len(chunk) <= CACHED:
+            if self.kept > CACHE_CHARS:
+                self.older = self.words, self.tables
+                self.words, self.tables, self.kept = {}, {}, 0
+            self.tables[chunk] = out
+            self.kept += len(chunk)
+        return out
+
+    def counted(self, chunk: str) -> tuple[bytes, int]:
         counts, before, start = [], 0, 0
         for m in self.special.finditer(chunk) if self.special else ():
             begun = self.segment(chunk[start : m.end() - 1])
@@ -262,21 +278,13 @@ class Counter:
             start = m.end()
         if start < len(chunk):
             counts += [c if c < 0 else c + before for c in self.segment(chunk[start:])]
-        out = array("i", counts).tobytes(), counts[-1]
-        if len(chunk) <= CACHED:
-            if self.kept > CACHE_CHARS:
-                self.tables.clear()
-                self.words.clear()
-                self.kept = 0
-            self.tables[chunk] = out
-            self.kept += len(chunk)
-        return out
+        return array("i", counts).tobytes(), counts[-1]
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """Counts at the prefixes of 0, 1, ... code points; -1 where the text can't be cut."""
         text = text or ""
-        get, make = self.tables.get, self.chunk
-        tables = [get(c) or make(c) for c in GAP.split(text) if c]
+        make = self.chunk
+        tables = [self.tables.get(c) or make(c) for c in GAP.split(text) if c]
         out = np.zeros(len(text) + 1, np.int32)
         if not tables:
             return out
