@@ -32,6 +32,12 @@ TOGETHER = 256
 LINKS = "kind string, a long, b long"
 
 
+def scaled(vectors: pd.Series) -> np.ndarray:
+    """Rows of doubles, each times the power of two that brings its largest component into [0.5, 1): cosines stay, squares neither vanish nor overflow."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = np.sqrt((x * x).sum(axis=1))
     return (x / norm[:, None]).astype(np.float32), norm
@@ -105,8 +111,9 @@ def whole(graph: Graph, q: np.ndarray, limit: float, same: np.ndarray | None, wa
 
 def build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
-    x, norm = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
-    blob = pickle.dumps((Graph(x), norm, np.stack(pdf["vector"].to_numpy()), pdf["rep"].to_numpy(), pdf["size"].to_numpy()), protocol=5)
+    raw = scaled(pdf["vector"])
+    x, norm = unit(raw)
+    blob = pickle.dumps((Graph(x), norm, raw, pdf["rep"].to_numpy(), pdf["size"].to_numpy()), protocol=5)
     return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [blob]})
 
 
@@ -115,7 +122,7 @@ def query(threshold: float):
         if not len(index) or not len(queries):
             return pd.DataFrame({"kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         graph, norm, raw, reps, sizes = pickle.loads(index["graph"].iloc[0])
-        own, own_raw = queries["rep"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(np.float64)
+        own, own_raw = queries["rep"].to_numpy(), scaled(queries["vector"])
         q, own_norm = unit(own_raw)
         n = len(reps)
         count, union = np.zeros(len(own), np.int64), Union(n + len(own))
@@ -126,7 +133,7 @@ def query(threshold: float):
             close = np.abs(np.einsum("nk,nk->n", q[a], graph.x[b]) - threshold) < 2e-5
             if close.any():
                 i, j = a[close], b[close]
-                cosine = np.einsum("nk,nk->n", own_raw[i], raw[j].astype(np.float64)) / (own_norm[i] * norm[j])
+                cosine = np.einsum("nk,nk->n", own_raw[i], raw[j]) / (own_norm[i] * norm[j])
                 close[close] = cosine < threshold
             ok = ~close & (same[a] != b)
             a, b = a[ok], b[ok]
@@ -168,4 +175,4 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_column: str = "ve
     of_class = of_class.select("rep", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     linked = of.join(of_class, "rep").select("id", "label", "vector", "n_links", "component_id")
     joined = rows.join(linked, ["id", "label", "vector"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return joined.select(F.col("id").alias(id_column), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return joined.select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -111,6 +111,7 @@ def test_embedding_dedup(spark, monkeypatch):
     for i in range(500):
         v = centres[rng.integers(30)] + rng.normal(size=16) * rng.choice([0.0, 0.1, 0.25])
         rows.append((i, [float(a) for a in v.astype(np.float32)], int(rng.integers(2)), "extra", 7))
+    rows += [(560 + k, [a * 2.0**e for a in rows[3][1]], rows[3][2], "extra", 7) for k, e in enumerate((100, -100))]
     hot = [(600 + i, [float(a) for a in (centres[0] + rng.normal(size=16) * 0.05)], 5, "e", 7) for i in range(250)]
     bad = [(900, None, 1, "e", 1), (901, [], 1, "e", 1), (902, [0.0] * 16, 1, "e", 1), (903, [float("nan")] * 16, 1, "e", 1), (904, [1.0, None] * 8, 1, "e", 1), (905, rows[0][1], None, "e", 1), (906, rows[0][1][:8], rows[0][2], "e", 1), (None, rows[0][1], rows[0][2], "e", 1)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows + hot + bad + [rows[3]], "vec_id long, embedding array<float>, label int, kept string, n_links int")).collect()
@@ -125,10 +126,18 @@ def test_embedding_dedup(spark, monkeypatch):
     by = {r.vec_id: r for r in got}
     assert all(by[i].n_links == n and by[i].component_id == root[i] and by[i].kept == (root[i] == i) for i, n in zip(ids, near.sum(1)))
     assert all(by[r[0]].n_links == 0 and by[r[0]].component_id == r[0] for r in bad)
+    assert all(r.kept for r in got if r.vec_id is None)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def test_vectors_of_any_size_are_compared(spark):
+    v = [1.0, 2.0, -1.0, 0.5]
+    rows = [(i, [a * f for a in v], 1) for i, f in enumerate((1.0, 1e200, 1e-200, 1e-310, -1e300))]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), 3: (3, 0, False), 4: (0, 4, True)}
+
+
 def test_fingerprints(spark):
     rows = corpus(40) + [r for r in EDGE if r[0] != 1002]
     got = weighted_sampling.edited(spark.createDataFrame(rows, DOCS)).collect()
