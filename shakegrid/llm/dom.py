@@ -35,20 +35,24 @@ RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Page:
-    """Block elements in page order (``parent`` before child, 0 is the page) and pieces of text with their element."""
+    """Block elements in page order (``parent`` before child, 0 is the page) and pieces of text with their element.
+
+    Labels are read from data-y attributes only where ``labelled`` says that the page is a training page.
+    """
 
     __slots__ = ("tag", "names", "parent", "depth", "label", "pieces", "chars", "linked")
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, labelled: bool = False):
         self.tag, self.names, self.parent, self.depth, self.label = ["#page"], [()], [-1], [0], [1]
         self.pieces: list[tuple[int, str]] = []
         self.chars, self.linked = [0], [0]
-        self._read(source or "")
+        self._read(source or "", labelled)
 
-    def _read(self, source: str) -> None:
+    def _read(self, source: str, labelled: bool) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # inline elements have the node of the block around them
         run: list[str] = []
         links, at, p_open = 0, 0, 0
+        opened: dict[str, int] = {}
 
         def flush() -> None:
             if run:
@@ -70,6 +74,7 @@ class Page:
             name, node = stack.pop()
             links -= name == "a"
             p_open -= name == "p"
+            opened[name] -= 1
 
         while m := TOKEN.search(source, at):
             if m.start() > at:
@@ -83,7 +88,7 @@ class Page:
                 flush()
                 continue
             if closing:
-                if any(n == name for n, _ in stack[1:]):
+                if opened.get(name):
                     if name not in INLINE:
                         flush()
                     while stack[-1][0] != name:
@@ -98,6 +103,7 @@ class Page:
                 continue
             if name in INLINE:
                 stack.append((name, stack[-1][1]))
+                opened[name] = opened.get(name, 0) + 1
                 links += name == "a"
                 continue
             flush()
@@ -107,7 +113,7 @@ class Page:
                 while stack[-1][0] != "p":
                     pop()
                 pop()
-            if name in ENDS:
+            if name in ENDS and any(opened.get(n) for n in ENDS[name][0]):
                 shut, stop = ENDS[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in shut:
@@ -122,7 +128,7 @@ class Page:
             if "=" in attributes:
                 for key, *value in NAMED.findall(attributes):
                     if key.lower() == "data-y":
-                        label = int("".join(value))
+                        label = int("".join(value)) if labelled else None
                     else:
                         names += WORD.findall("".join(value).lower())
             up = stack[-1][1]
@@ -134,6 +140,7 @@ class Page:
             self.chars.append(0)
             self.linked.append(0)
             stack.append((name, len(self.tag) - 1))
+            opened[name] = opened.get(name, 0) + 1
             p_open += name == "p"
         if at < len(source):
             say(source[at:])
@@ -142,7 +149,7 @@ class Page:
 
 # ---- labelled pages ----------------------------------------------------------------------------
 
-# Names that authors of pages give to the parts of a page.
+# A vocabulary of our own for training pages: names that authors of pages give to the parts of a page.
 PARTS = {
     "menu": "nav navbar menu navigation topnav breadcrumb breadcrumbs pagination links sitemap",
     "header": "header masthead top branding logo banner siteheader",

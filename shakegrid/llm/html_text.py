@@ -109,7 +109,7 @@ def marginals(f: Forest, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray
 
 def fit(sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and edges from pages with labels."""
-    pages = [Page(s) for s in sources]
+    pages = [Page(s, labelled=True) for s in sources]
     f, label = Forest(pages), np.concatenate([p.label for p in pages])
     node, edge = np.zeros(FEATURES), np.zeros((3, 2, 2))
     child = np.concatenate(f.levels) if f.levels else np.zeros(0, int)
