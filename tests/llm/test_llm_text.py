@@ -77,12 +77,21 @@ def test_escape_restores():
 
 
 def test_html_model_on_held_out_pages():
-    pages = [dom.Page(s) for s in dom.labelled_pages(60, 77)]
+    pages = [dom.Page(s, labelled=True) for s in dom.labelled_pages(60, 77)]
     f, label = html_text.Forest(pages), np.concatenate([p.label for p in pages])
     p, joint, _ = html_text.marginals(f, *html_text.fitted())
     assert np.mean((p[:, 1] >= 0.5) == label) > 0.97
 
 
+def test_foreign_label_attributes_and_deep_pages_are_read(spark):
+    odd = '<div><p data-y="12.5">One <g data-y=abc>chart</g> here.</p><p data-y=1>Two.</p></div>'
+    plain = odd.replace(' data-y="12.5"', "").replace(" data-y=abc", "").replace(" data-y=1", "")
+    weights = html_text.fitted()
+    assert html_text.texts([odd], weights) == html_text.texts([plain], weights)
+    deep = "<div>" * 20_000 + "<p>inner words</p>" + "</div>" * 20_000 + "</section>" * 20_000
+    assert len(dom.Page(deep).tag) == 20_002 and dom.Page(deep).pieces == [(20_001, "inner words")]
+
+
 def test_sum_product_is_exact():
     page = dom.Page("<div class=x><p>a</p><ul><li>b<li>c</ul></div>")
     f = html_text.Forest([page])
@@ -130,10 +139,30 @@ def test_quality(spark):
 def test_kneser_ney_sums_to_one(spark):
     docs, labels, _ = labelled(spark)
     model = kneser_ney.fit(docs, labels)
-    assert model.alphabet.size > 10
-    for context in (0x02020204, 0x05060704, 0x03030304, 0x0A0A0A04):
-        keys = (np.uint32(context) & np.uint32(0xFFFFFF00)) | np.arange(model.alphabet.size, dtype=np.uint32)
-        assert 0.98 < (10 ** model.log10("en", keys)).sum() < 1.0 + 1e-5
+    assert all(a.size > 10 for a in model.alphabets.values())
+    for lang, alphabet in model.alphabets.items():
+        for context in ((2, 2, 2), (5, 6, 7), (3, 3, 3), (10, 10, 10)):
+            key = 0
+            for c in context:
+                key = (key | c) << kneser_ney.BITS
+            assert 0.98 < (10 ** model.log10(lang, key | np.arange(alphabet.size))).sum() < 1.0 + 1e-5
+
+
+def test_each_language_has_its_own_alphabet(spark):
+    """More languages than fifty, one of a script of many characters: what it is badly made of is told apart."""
+    rnd = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(600)]
+    pairs = [(rnd.choice(han), rnd.choice(han)) for _ in range(120)]
+    sane = lambda n: "".join("".join(rnd.choice(pairs)) for _ in range(n))
+    rows = [(i, sane(150), "zh", "s", "x", "y", "z") for i in range(60)]
+    rows += [(100 + i, "".join(rnd.choices(han, k=300)), "zh", "s", "x", "y", "z") for i in range(10)]
+    rows += [(1000 + 100 * k + i, t, f"l{k}", "s", "x", "y", "z") for k in range(55) for i, t in enumerate(spelled(2, k))]
+    labels = spark.createDataFrame([(r[0], int(not 100 <= r[0] < 110), 0) for r in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    model = kneser_ney.fit(docs, labels)
+    assert len(model.shards) == 57 and model.alphabets["zh"].size > 150
+    got = {r.doc_id: r.kept for r in kneser_ney.judge(docs, labels).select("doc_id", "kept").collect()}
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in range(100, 110))
 
 
 def test_gradients():
