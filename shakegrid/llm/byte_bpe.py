@@ -24,6 +24,8 @@ from .common import append
 
 #: A text longer than this is cut at the next safe place behind every multiple.
 PIECE_CHARS = 1 << 16
+#: Bytes of text, or of ids, that a task works on at once.
+SLICE = 1 << 20
 SAFE = re.compile(r"\w(?= )")
 
 
@@ -56,7 +58,23 @@ def encode(df: DataFrame, rank_file: str, pattern: str, column: str = "text", ou
         return [pa.array([x.tobytes() for x in ids], pa.binary()) if packed else pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32()))]
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return append(df, column, [T.StructField(out, kind)], fn)
+    return append(df, column, [T.StructField(out, kind)], fn, SLICE)
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, column: str = "text", out: str = "ids", same: str = "round_trip") -> DataFrame:
+    """``df`` with the packed ids of ``column`` and whether their decoded bytes are those of the text; one pass, text by text."""
+
+    def fn(texts: pa.Array) -> list[pa.Array]:
+        enc = encoding(rank_file, pattern)
+        ids, back = [], []
+        for t in texts:
+            text = t.as_py() or ""
+            own = encode_text(enc, text)
+            ids.append(own.tobytes())
+            back.append(enc.decode_bytes(own.tolist()) == text.encode())
+        return [pa.array(ids, pa.binary()), pa.array(back, pa.bool_())]
+
+    return append(df, column, [T.StructField(out, T.BinaryType()), T.StructField(same, T.BooleanType())], fn, SLICE)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -67,7 +85,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, column: str = "ids", out
 
     def fn(ids: pa.Array) -> list[pa.Array]:
         enc = encoding(rank_file, pattern)
-        lists = [np.frombuffer(x or b"", dtype="<u4").tolist() if packed else x or [] for x in ids.to_pylist()]
+        lists = (np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() if packed else x.as_py() or [] for x in ids)
         return [pa.array([enc.decode_bytes(x) for x in lists], pa.binary())]
 
-    return append(df, column, [T.StructField(out, T.BinaryType())], fn)
+    return append(df, column, [T.StructField(out, T.BinaryType())], fn, SLICE)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that a task turns into Python strings at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,9 @@ def append(df: DataFrame, columns: str | list[str], fields: list[T.StructField],
             for part in slices(batch, inner[0], size):
                 made = fn(*(part.column(c) for c in inner))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *(f.name for f in fields)])
+                del made
+            # Workers live on; what a batch took goes back.
+            pa.default_memory_pool().release_unused()
 
     return df.select(*(df[c] for c in keep), *(df[c].alias(x) for c, x in zip(columns, inner))).mapInArrow(run, schema)
 
