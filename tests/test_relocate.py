@@ -55,21 +55,88 @@ def test_known_shift(spark, shifted, ref):
     assert got.where("mode = 'TRD' and rms < 0.01").count() == 30 - ref
 
 
+def replayed(pdf, damp, zero_sum, tol=1e-6):
+    """The solver's definition on dense arrays: (ids, x, variances along the steps, steps)."""
+    ids = np.sort(pdf.loc[pdf.a == pdf.b, "a"].to_numpy())
+    n = len(ids)
+    ia, ib = np.searchsorted(ids, pdf.a), np.searchsorted(ids, pdf.b)
+    m, rhs = np.zeros((n, 3, n, 3)), np.zeros((n, 3))
+    blocks = pdf[relocate.BLOCK].to_numpy().reshape(-1, 3, 3)
+    m[ia, :, ib, :] = blocks
+    m[ib, :, ia, :] = blocks.transpose(0, 2, 1)
+    for c in range(3):
+        m[:, c, :, c] += float(zero_sum) + damp * damp * np.eye(n)
+    own = (pdf.a == pdf.b).to_numpy()
+    rhs[ia[own]] = pdf.loc[own, ["r0", "r1", "r2"]].to_numpy()
+    k = np.linalg.inv(np.stack([m[i, :, i, :] for i in range(n)]))
+    m, r = m.reshape(3 * n, 3 * n), rhs.ravel().copy()
+    scaled = lambda r: np.einsum("nij,nj->ni", k, r.reshape(n, 3)).ravel()
+    x, v, u = np.zeros(3 * n), np.zeros(3 * n), scaled(r)
+    p, g, steps = u.copy(), r @ u, 0
+    goal = g * tol * tol
+    while g > goal:
+        q = m @ p
+        pap = p @ q
+        x += g / pap * p
+        v += p * p / pap
+        r -= g / pap * q
+        u = scaled(r)
+        p, g, steps = u + r @ u / g * p, r @ u, steps + 1
+    return ids, x.reshape(n, 3), v.reshape(n, 3), steps
+
+
+def agree(system, damp, zero, zero_sum):
+    pdf = system.toPandas()
+    got = relocate.solve_clusters(system, damp, zero).toPandas()
+    assert got.converged.all() and len(got) == ((pdf.a == pdf.b).sum())
+    for cid, own in got.groupby("cid"):
+        own = own.sort_values("event_id")
+        ids, x, v, _ = replayed(pdf[pdf.cid == cid], damp, zero_sum)
+        assert (own.event_id == ids).all()
+        np.testing.assert_allclose(own[["d_lon", "d_lat", "d_dep"]], x, rtol=1e-4, atol=1e-6)
+        np.testing.assert_allclose(own[["v_lon", "v_lat", "v_dep"]], v, rtol=0.05)
+
+
 def test_conjugate_gradients_agree_with_dense(spark, shifted):
     st, _ev, lags, start = shifted
     cat = start(0).where("event_id < 12")
     td = joins.triple_differences(cat, lags, wgs84=False)
     state = cat.withColumn("target", F.lit(True))
     rows = relocate.td_rows(td, relocate.pair_places(td, st), state, MODEL, False).withColumn("w", F.lit(1.0))
-    system = relocate.td_system(rows)
+    system = relocate.td_system(rows).cache()
     zero = spark.createDataFrame([(1, True)], "cid int, zero_sum boolean")
-    a = relocate.solve_clusters(system, 1.0, zero).toPandas().sort_values("event_id")
-    b = relocate.solve_clusters(system, 1.0, zero, dense=1, steps=40).toPandas().sort_values("event_id")
-    for c in ("d_lon", "d_lat", "d_dep"):
-        np.testing.assert_allclose(a[c], b[c], rtol=1e-4, atol=1e-6)
-    for c in ("v_lon", "v_lat", "v_dep"):
-        np.testing.assert_allclose(a[c], b[c], rtol=0.05)
-    assert b.converged.all() and not relocate.solve_clusters(system, 1.0, zero, dense=1, steps=2).toPandas().converged.any()
+    agree(system, 1.0, zero, True)
+    assert not relocate.solve_clusters(system, 1.0, zero, steps=2).toPandas().converged.any()
+
+
+@pytest.fixture(scope="module")
+def two_sizes(spark, tmp_path_factory):
+    """Systems of 12 and of 1,200 targets in one table."""
+    rng, rows = np.random.default_rng(11), []
+    for cid, first, n in ((1, 0, 12), (2, 100, 1_200)):
+        for a in range(n):
+            for b in {int(x) for x in rng.integers(0, n, 5)} - {a}:
+                g = rng.normal(0, 1, 6) * np.tile([90, 110, 1.0], 2) / 50
+                rows.append((cid, first + a, first + b, True, True, *map(float, g), float(rng.normal()), 1.0))
+    cols = [f"g{i}_{x} double" for i in (0, 1) for x in relocate.AXES]
+    path = str(tmp_path_factory.mktemp("system") / "s")
+    relocate.td_system(spark.createDataFrame(rows, f"cid int, eve0 bigint, eve1 bigint, t0 boolean, t1 boolean, {', '.join(cols)}, d double, w double")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("damp,zero_sum", [(1.0, False), (0.5, True)])
+def test_one_solver_for_all_sizes(spark, two_sizes, damp, zero_sum):
+    agree(two_sizes, damp, spark.createDataFrame([(1, zero_sum), (2, zero_sum)], "cid int, zero_sum boolean"), zero_sum)
+
+
+def test_variances_reach_the_inverse_where_all_directions_are_visited(spark):
+    """One event, three directions: the sum along the steps is the diagonal of the inverse."""
+    rows = [(1, 1, 1, 2.0, 0.3, 0.1, 0.3, 1.0, 0.2, 0.1, 0.2, 3.0, 1.0, -2.0, 0.5)]
+    system = spark.createDataFrame(rows, "cid int, a bigint, b bigint, " + ", ".join(f"{c} double" for c in [*relocate.BLOCK, "r0", "r1", "r2"]))
+    got = relocate.solve_clusters(system, 0.0).toPandas().iloc[0]
+    m = np.array(rows[0][3:12]).reshape(3, 3)
+    np.testing.assert_allclose([got.d_lon, got.d_lat, got.d_dep], np.linalg.solve(m, rows[0][12:]), rtol=1e-9)
+    assert got.converged and got.v_lon <= np.linalg.inv(m)[0, 0] + 1e-12
 
 
 def test_select_td_covers_every_event(spark):
