@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.measure import col
-from ..session import cut
+from ..session import cut, small
 
-_LOW = (1 << 33) - 1
+#: Quantiles of a group that cut it into bins, and the rows of a bin up to which its values are counted and sorted.
+LEVELS = 64
+WIDE = 1 << 20
 
 
 def ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -46,31 +48,57 @@ def row_numbers(df: DataFrame, order: Sequence, name: str = "row_no") -> DataFra
     return ranked(df, order, name=name)
 
 
+def _selected(rows: DataFrame, keys: list[str], wanted: Callable[[DataFrame], DataFrame], depth: int = 0) -> DataFrame:
+    """(keys.., pick, _v): the values at the 0-based places of ``wanted``, (keys.., pick, at) made from (keys.., _n).
+
+    Approximate quantiles cut each group into bins, a value that is one of them having a bin of its own. Exact counts of
+    the bins tell which one holds a place; only rows of such bins with more than one value go on, to counts by value, or
+    once more through this function where a bin has over WIDE rows. Quantiles steer the work, never the result.
+    """
+    levels = [i / LEVELS for i in range(1, LEVELS)]
+    groups = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", levels, 20 * LEVELS).alias("_edges")))
+    below = F.size(F.filter("_edges", lambda x: x < F.col("_v")))
+    own = F.array_contains("_edges", F.col("_v")).cast("int")
+    binned = rows.join(small(groups.select(*keys, "_edges")), keys).withColumn("_bin", 2 * below + own).drop("_edges")
+    so_far = lambda part, by: F.coalesce(F.sum("_c").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    here = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_c"))
+    slots = cells.withColumn("_before", so_far(keys, "_bin")).join(wanted(groups.select(*keys, "_n")), keys).where(here)
+    slots = cut(slots.withColumn("at", F.col("at") - F.col("_before")).drop("_before"))
+    found = slots.where("_lo = _hi").select(*keys, "pick", F.col("_lo").alias("_v"))
+    mixed = slots.where("_lo < _hi").select(*keys, "_bin", "pick", "at", "_c")
+    widest = mixed.agg(F.max("_c")).first()[0]
+    if widest is None:
+        return found
+    inner = [*keys, f"_bin{depth}"]
+    mixed = mixed.withColumnRenamed("_bin", inner[-1])
+    inside = binned.withColumnRenamed("_bin", inner[-1]).join(small(mixed.select(*inner).distinct()), inner, "left_semi")
+    if widest > WIDE:
+        hit = _selected(inside, inner, lambda _sizes: mixed.drop("_c"), depth + 1)
+    else:
+        counts = inside.groupBy(*inner, "_v").agg(F.count("*").alias("_c"))
+        hit = counts.withColumn("_before", so_far(inner, "_v")).join(mixed.drop("_c"), inner).where(here)
+    return found.unionByName(hit.select(*keys, "pick", "_v"))
+
+
 def nth_values(
-    df: DataFrame, value: str, picks: dict[str, object], keys: Sequence[str] = ()
+    df: DataFrame, value: str, picks: dict[str, object], keys: Sequence[str] = (), stored: bool = False
 ) -> DataFrame:
-    """Order statistics of ``value`` per group.
+    """Order statistics of ``value`` per group (W02), exact.
 
     ``picks`` maps an output name to a function of the group size ``n`` (a Column) that gives a
-    0-based index into the ascending values. Nulls are left out.
+    0-based index into the ascending values. Nulls are left out. ``df`` is read three times:
+    its keys and values are written once, unless it is ``stored`` and cheap to read again.
     """
     keys = list(keys)
-    known = df.select(*keys, value).where(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = ranked(known, [value], keys)
-    if keys:
-        rows = rows.join(sizes, keys)
-    else:
-        rows = rows.withColumn("_n", sizes.scalar())
-    at = {k: (fn(F.col("_n")) + 1).cast("bigint") for k, fn in picks.items()}
-    wanted = F.lit(False)
-    for place in at.values():
-        wanted = wanted | (F.col("rank") == place)
-    return (
-        rows.where(wanted)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("rank") == place, F.col(value))).alias(k) for k, place in at.items()])
-    )
+    known = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    rows = known if stored else cut(known)
+    by = keys or ["_all"]
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(1))
+    places = F.array(*(F.struct(F.lit(k).alias("pick"), fn(F.col("_n")).cast("bigint").alias("at")) for k, fn in picks.items()))
+    got = _selected(rows, by, lambda sizes: sizes.select(*by, F.inline(places)))
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("pick") == k, F.col("_v"))).alias(k) for k in picks])
 
 
 def medians(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median") -> DataFrame:

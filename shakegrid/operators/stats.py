@@ -50,6 +50,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame
             "q3": lambda n: F.floor(n * 3 / 4),
         },
         ["column"],
+        stored=True,
     )
     return basic.join(order, "column").select(
         "column", "n", "min", "max", "mean",
@@ -65,6 +66,7 @@ def robust_range(df: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98)
         df.where(finite(F.col(value).cast("double"))),
         value,
         {"lo": lambda n: F.floor((n - 1) * F.lit(lo)), "hi": lambda n: F.ceil((n - 1) * F.lit(hi))},
+        stored=True,
     )
     # 64 units in the last place of a double.
     ulp = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("lo"))) - 46)

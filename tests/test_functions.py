@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_bandpass_chunks_and_mixed_rates_agree(spark):
     b = waves.bandpass(df, 0.2, 0.1, 1.0, chunk=16).orderBy("trace_id", "i").toPandas()
     c = waves.bandpass(df.withColumn("dt", F.lit(1.0)), 0.2, 0.1, "dt", chunk=16).orderBy("trace_id", "i").toPandas()
     assert len(a) == 500 and abs(a.y - b.y).max() < 1e-9 and abs(a.y - c.y).max() < 1e-9
+
+
+@pytest.mark.parametrize("wide", [1 << 20, 50])
+def test_order_statistics_by_selection(spark, monkeypatch, wide):
+    """Ties, a value that most rows share, a group of one, nulls, and bins that are cut again."""
+    monkeypatch.setattr(ranks, "WIDE", wide)
+    rng = np.random.default_rng(3)
+    groups = {
+        "hot": np.where(rng.random(4_000) < 0.9, 1.5, rng.normal(0, 5, 4_000)), "low": np.r_[np.zeros(900), np.arange(1, 90)],
+        "plain": rng.normal(0, 1, 5_000), "one": np.array([-2.0]), "same": np.full(300, 7.0), "whole": rng.integers(-5, 5, 700).astype(float),
+    }
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    at = {"first": lambda n: F.lit(0), "q1": lambda n: F.floor(n / 4), "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1, "beyond": lambda n: n}
+    got = {r.k: r for r in ranks.nth_values(df, "x", at, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        xs, n = np.sort(xs), len(xs)
+        assert (got[k].first, got[k].q1, got[k].mid, got[k].last, got[k].beyond) == (xs[0], xs[n // 4], xs[n // 2], xs[-1], None)
+    every = np.sort(np.concatenate(list(groups.values())))
+    whole = ranks.nth_values(df, "x", {"q": lambda n: F.floor(n / 3)}, stored=True).collect()
+    assert [r.q for r in whole] == [every[len(every) // 3]]
+    assert [r.q for r in ranks.nth_values(df.where("x > 1e9"), "x", {"q": lambda n: F.floor(n / 3)}).collect()] == [None]
