@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.measure import col
 from ..session import cut, small
 
-#: Quantiles of a group that cut it into bins, and the rows of a bin up to which its values are counted and sorted.
+#: Bins (a power of two) into which quantiles cut a group, and the rows of a bin up to which its values are counted and sorted.
 LEVELS = 64
 WIDE = 1 << 20
 
@@ -57,9 +57,13 @@ def _selected(rows: DataFrame, keys: list[str], wanted: Callable[[DataFrame], Da
     """
     levels = [i / LEVELS for i in range(1, LEVELS)]
     groups = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", levels, 20 * LEVELS).alias("_edges")))
-    below = F.size(F.filter("_edges", lambda x: x < F.col("_v")))
-    own = F.array_contains("_edges", F.col("_v")).cast("int")
-    binned = rows.join(small(groups.select(*keys, "_edges")), keys).withColumn("_bin", 2 * below + own).drop("_edges")
+    binned = rows.join(small(groups.select(*keys, "_edges")), keys).withColumn("_bin", F.lit(0))
+    half = LEVELS // 2
+    while half:  # binary search, in generated code, for the number of quantiles below the value
+        binned = binned.withColumn("_bin", F.col("_bin") + F.when(F.get("_edges", F.col("_bin") + (half - 1)) < F.col("_v"), half).otherwise(0))
+        half //= 2
+    own = F.coalesce(F.get("_edges", F.col("_bin")) == F.col("_v"), F.lit(False)).cast("int")
+    binned = binned.withColumn("_bin", 2 * F.col("_bin") + own).drop("_edges")
     so_far = lambda part, by: F.coalesce(F.sum("_c").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     here = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_c"))
