@@ -609,3 +609,7 @@ def cluster_job(spark, sf):
         v.catalog(spark, sf, order=True), v.lags(spark, sf), v.stations(spark, sf), STRAIGHT, eps_km=EPS, min_pts=MIN_PTS, rms_max=0.8, max_km=TD_KM, wgs84=False)
     per = td.groupBy("cid").agg(F.count("*").alias("n_td"), F.avg("residual").alias("mean_residual"))
     return rounded(stats.cluster_sizes(cat).join(per, "cid", "left"))
+
+
+# The queries of the text formats register themselves.
+from . import format_queries  # noqa: E402, F401

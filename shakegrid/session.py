@@ -22,6 +22,11 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see."""
+    return _checkpoint_dir(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
