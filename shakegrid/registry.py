@@ -126,6 +126,21 @@ def resolve_cid(spark, sf):
     return filters.resolve_cid(v.catalog(spark, sf), False).select("event_id", "cid")
 
 
+# Ids that are missing count as 0; if none is known, all events are one cluster, or none when they are to be clustered.
+CID_CASES = {"some": "CASE WHEN event_id % 3 > 0 THEN cid END", "none": "CAST(NULL AS INT)"}
+
+
+@query("resolve_cid_cases", using("catalog", f"""SELECT event_id, CAST(coalesce({CID_CASES['some']}, 0) AS INT) AS some_kept, CAST(coalesce({CID_CASES['some']}, 0) AS INT) AS some_again,
+  CAST(1 AS INT) AS none_kept, CAST(NULL AS INT) AS none_again FROM catalog"""))
+def resolve_cid_cases(spark, sf):
+    out = v.catalog(spark, sf).select("event_id")
+    for case, cid in CID_CASES.items():
+        for name, again in (("kept", False), ("again", True)):
+            got = filters.resolve_cid(v.catalog(spark, sf).withColumn("cid", F.expr(cid)), again)
+            out = out.join(got.select("event_id", F.col("cid").alias(f"{case}_{name}")), "event_id")
+    return out
+
+
 @query("depth_status", using("catalog stations", "SELECT event_id, CASE WHEN depth_km BETWEEN (SELECT greatest(max(dep_km), 0) + 0.01e0 FROM stations) AND 40e0 THEN mode ELSE 'ERR' END AS mode FROM catalog"))
 def depth_status(spark, sf):
     top = stats.bottom_depth(v.stations(spark, sf)).scalar()
@@ -159,6 +174,17 @@ def attach_lags(spark, sf):
     return joins.attach_lags(cat, by_name.unionByName(by_time)).where("dat_id is null or dat_id = event_id").select("event_id", "has_lags")
 
 
+@query("attach_lags_ids", using("catalog", """SELECT c.event_id, coalesce(f.dat_id, t.dat_id) AS dat_id, coalesce(f.dat_id, t.dat_id) IS NOT NULL AS has_lags FROM catalog c
+  LEFT JOIN (SELECT event_id - event_id % 3 AS event_id, min(event_id * 2) AS dat_id FROM catalog GROUP BY 1) f ON f.event_id = c.event_id
+  LEFT JOIN (SELECT ts, min(event_id) AS dat_id FROM catalog WHERE event_id % 5 = 0 GROUP BY 1) t ON t.ts = c.ts"""))
+def attach_lags_ids(spark, sf):
+    """Files that share a name or a time: the smallest id of the name, else the smallest of the time."""
+    cat = v.catalog(spark, sf).withColumns({"time_raw": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "file": F.concat(F.lit("f"), "event_id")})
+    by_name = cat.select(F.concat(F.lit("f"), F.col("event_id") - F.col("event_id") % 3).alias("file"), (F.col("event_id") * 2).alias("dat_id"))
+    by_time = cat.where("event_id % 5 = 0").select(F.date_format("ts", "yyMMdd.HHmmss'.dat'").alias("file"), F.col("event_id").alias("dat_id"))
+    return joins.attach_lags(cat, by_name.unionByName(by_time)).select("event_id", "dat_id", "has_lags")
+
+
 @query("event_station", using("catalog stations", f"SELECT event_id, stn_idx, {r6('dist_km')} AS dist_km FROM pairs", TIMES))
 def event_station(spark, sf):
     return rounded(joins.event_station(v.catalog(spark, sf), v.stations(spark, sf)).select("event_id", "stn_idx", "dist_km"))
@@ -189,7 +215,13 @@ def _times(spark, sf):
 
 
 def _tdr(spark, sf):
-    return joins.td_residual(_td(spark, sf), _times(spark, sf))
+    return relocate_plan.model_residual(cut(_td(spark, sf)), v.catalog(spark, sf), v.stations(spark, sf), STRAIGHT, wgs84=False)
+
+
+@query("td_residual_from_times", using("catalog lags stations", f"SELECT cid, eve0, eve1, stn_k, stn_l, {r6('residual')} AS residual FROM tdr", TD_RESID))
+def td_residual_from_times(spark, sf):
+    """The same from a table of travel times, whatever made it."""
+    return rounded(joins.td_residual(_td(spark, sf), _times(spark, sf)).drop("dist_km", "td"))
 
 
 @query("triple_difference_count", using("catalog lags", """SELECT a.cid, count(*) AS n, CAST(count(DISTINCT a.event_id) AS BIGINT) AS n_first
@@ -445,6 +477,13 @@ def scatter_xy(spark, sf):
     return rounded(stats.scatter_xy(both, "depth_km", "rms")[1])
 
 
+@query("scatter_points", using("catalog catalog_b", f"""SELECT source, {r6('x')} AS x, {r6('y')} AS y FROM
+  (SELECT 'a' AS source, nullif(depth_km, 7e0) AS x, rms AS y FROM catalog UNION ALL SELECT 'b', nullif(depth_km, 7e0), rms FROM catalog_b) WHERE x IS NOT NULL"""))
+def scatter_points(spark, sf):
+    both = sets.union_catalogs({"a": v.catalog(spark, sf), "b": v.catalog_b(spark, sf)})
+    return rounded(stats.scatter_xy(both.withColumn("depth_km", F.nullif("depth_km", F.lit(7.0))), "depth_km", "rms")[0])
+
+
 # ---- waveforms ---------------------------------------------------------------------------------
 
 @query("detrend", using("waves", f"SELECT trace_id, i, {r6('y - (regr_intercept(y, CAST(i AS DOUBLE)) OVER w + regr_slope(y, CAST(i AS DOUBLE)) OVER w * i)')} AS y FROM waves WINDOW w AS (PARTITION BY trace_id)"))
@@ -498,6 +537,13 @@ def dbscan(spark, sf):
     return density.dbscan(v.catalog(spark, sf, order=True), EPS, MIN_PTS)
 
 
+@query("relabelled", using("catalog", "SELECT event_id, CASE WHEN event_id % 4 > 0 AND cid > 2 THEN cid * 2 ELSE 0 END AS cid FROM catalog"))
+def relabelled(spark, sf):
+    """New labels of some events; the rest become noise whatever cluster they were in."""
+    cat = v.catalog(spark, sf)
+    return sets.clusters_plus_noise(cat, cat.where("event_id % 4 > 0 and cid > 2").withColumn("cid", F.col("cid") * 2)).select("event_id", "cid")
+
+
 @query("clusters_plus_noise", using("catalog", "SELECT event_id, cid FROM catalog"))
 def clusters_plus_noise(spark, sf):
     cat = v.catalog(spark, sf)
@@ -603,7 +649,13 @@ def relocate(spark, sf):
         v.catalog(spark, sf), _tdr(spark, sf), v.stations(spark, sf), STRAIGHT, iterations=(1, 1), dist_km=(1.0, 0.5), damping=(0.1, 0.1), bottom=3.0, wgs84=False))
 
 
-@query("cluster_job")
+# The events that pass are clustered, then differenced; both blocks of SQL read their catalogue by name.
+JOB_SQL = f"""kept AS MATERIALIZED (SELECT * FROM catalog WHERE rms <= 0.8e0), {density_sql().replace("catalog", "kept")},
+clustered AS MATERIALIZED (SELECT k.* EXCLUDE (cid), d.cid FROM kept k JOIN dbs d USING (event_id)), {TD_RESID.replace("catalog", "clustered")}"""
+
+
+@query("cluster_job", using("catalog lags stations", f"""SELECT cid, n_events, n_td, {r6('mean_residual')} AS mean_residual FROM (SELECT cid, count(*) AS n_events FROM clustered GROUP BY cid)
+  LEFT JOIN (SELECT cid, count(*) AS n_td, avg(residual) AS mean_residual FROM tdr GROUP BY cid) USING (cid)""", JOB_SQL, recursive=True))
 def cluster_job(spark, sf):
     cat, td = cluster_plan.cluster_job(
         v.catalog(spark, sf, order=True), v.lags(spark, sf), v.stations(spark, sf), STRAIGHT, eps_km=EPS, min_pts=MIN_PTS, rms_max=0.8, max_km=TD_KM, wgs84=False)
