@@ -127,3 +127,34 @@ def test_order_statistics_by_selection(spark, monkeypatch, wide):
     whole = ranks.nth_values(df, "x", {"q": lambda n: F.floor(n / 3)}, stored=True).collect()
     assert [r.q for r in whole] == [every[len(every) // 3]]
     assert [r.q for r in ranks.nth_values(df.where("x > 1e9"), "x", {"q": lambda n: F.floor(n / 3)}).collect()] == [None]
+
+
+def test_unformed_differences_agree_with_pairs(spark, monkeypatch):
+    """What is told without pairs, or joined before them, is what the pairs tell: crowded keys, repeated rows, fixed events."""
+    from shakegrid.functions import geo
+    from shakegrid.operators import sets
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 3)
+    cat = spark.range(60).selectExpr(
+        "id event_id", "cast(id as int) event_ord", "cast(id % 4 as int) cid", "40 + (id % 11) * 0.001D lat", "140 + (id % 7) * 0.001D + if(id % 19 = 0, id * 0.1D, 0D) lon",
+        "CASE id % 5 WHEN 0 THEN 'REF' WHEN 1 THEN if(id % 2 = 0, 'ERR', 'LMO') ELSE 'LMO' END mode")
+    cat = cat.union(cat.where("event_id % 13 = 0"))
+    lags = spark.range(240).selectExpr("id % 60 event_id", "cast(id % 2 as int) stn_k", "cast(2 + id % 3 as int) stn_l", "id * 0.01D lag")
+    lags = lags.union(lags.where("event_id % 17 = 1"))
+    times = cat.select("event_id").distinct().crossJoin(spark.range(5).selectExpr("cast(id as int) stn_idx")).where("event_id % 23 <> 2")
+    times = times.selectExpr("event_id", "stn_idx", "event_id * 0.1D + stn_idx * stn_idx tt")
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    for km in (None, 0.8):
+        pairs, td = joins.differences(cat, lags, km, wgs84=False), joins.triple_differences(cat, lags, km, wgs84=False)
+        a, b = cat.alias("a"), cat.alias("b")
+        plain = lags.alias("p").join(a, F.expr("p.event_id = a.event_id")).join(
+            lags.alias("q").join(b, F.expr("q.event_id = b.event_id")), F.expr("a.cid = b.cid and p.stn_k = q.stn_k and p.stn_l = q.stn_l and a.event_ord < b.event_ord"))
+        plain = plain.where("a.cid > 0 and a.mode <> 'ERR' and b.mode <> 'ERR' and not (a.mode = 'REF' and b.mode = 'REF')")
+        plain = plain.withColumn("dist_km", geo.haversine_km("a.lat", "a.lon", "b.lat", "b.lon")).where(F.lit(km is None) | (F.col("dist_km") < (km or 0)))
+        assert td.count() > 50 and td.count() == plain.count()
+        assert rows(td.select("eve0", "eve1", "td", "dist_km")) == rows(plain.selectExpr("p.event_id", "q.event_id", "q.lag - p.lag", "dist_km"))
+        assert rows(joins.td_residual(pairs, times)) == rows(joins.td_residual(td, times))
+        assert rows(filters.drop_ref_pairs(pairs, cat)) == rows(filters.drop_ref_pairs(td, cat))
+        assert rows(sets.uncovered_events(cat, pairs)) == rows(sets.uncovered_events(cat, td))
+        assert rows(joins.missing_td(cat, pairs)) == rows(joins.missing_td(cat, td))
+        assert rows(pairs.counts()) == rows(td.groupBy("cid").agg(F.count("*").alias("n"), F.countDistinct("eve0").alias("n_first")))
