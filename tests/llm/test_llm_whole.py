@@ -1,12 +1,10 @@
 """What the operators learn comes from all rows."""
 
-import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from shakegrid.llm import kneser_ney
+from shakegrid.llm import kneser_ney, toxicity
 from shakegrid.llm.sampling import labelled
 
 DOCS = "doc_id long, text string, lang string"
@@ -44,3 +42,18 @@ def test_large_models_are_joined(spark, monkeypatch):
     assert all(abs(sent.mean[k] - table.mean[k]) < 1e-6 for k in sent.mean)
     a, b = (sorted((str(r.doc_id), r.text or "", r.perplexity) for r in kneser_ney.perplexities(docs, m).collect()) for m in (sent, table))
     assert [x[:2] for x in a] == [x[:2] for x in b] and max(abs(x[2] - y[2]) for x, y in zip(a, b)) < 1e-4
+
+
+def test_toxicity_learns_from_all_labelled_text(spark, monkeypatch):
+    """Long documents teach too, and shards are averaged to one model."""
+    monkeypatch.setattr(toxicity, "SHARD", 250)
+    monkeypatch.setattr(toxicity, "EPOCHS", 30)
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 200, n))
+    rows = [(i, text(40) + " vexgrob " * (i % 5 == 0) + text(20), "en") for i in range(0, 500)]
+    rows += [(1000 + i, text(3000) + " quzzilk " * (i % 2) + text(3000), "en") for i in range(60)]
+    labels = [(i, int(i % 5 == 0)) for i in range(500)] + [(1000 + i, i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    scores = model.scores([text(30) + w + text(30) for w in (" quzzilk ", " vexgrob ", " ") for _ in range(5)])
+    assert (scores[:10] >= 0.3).all() and (scores[10:] < 0.3).all()
