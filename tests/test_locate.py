@@ -165,3 +165,25 @@ def test_a_step_that_loses_lags_is_not_taken(spark):
     got, used = locate.locate_lsq(ev, obs, tt.GridModel(grid), rounds=1, max_iter=12, wgs84=False)
     row = got.first()
     assert row.n_used == 10 and row.n_lost == 0 and used.where("calc is null").count() == 0
+
+
+def test_places_are_summed_where_the_lags_lie(spark, problem, monkeypatch):
+    """Neither places nor samples are shuffled or written, and events with many chunks get the same results."""
+    model, st, ev, lags = problem
+    few, some = ev.where("event_id < 6").withColumn("lat", F.col("lat") + 0.1), lags.where("event_id < 6")
+    obs = locate.observations(some, st)
+    written = []
+    monkeypatch.setattr(locate, "cut", lambda df: written.append(df.columns) or df.localCheckpoint())
+    post = locate.posterior(few, obs, model, n=60, spread=(0.05, 2.0), wgs84=False)
+    plan = post._jdf.queryExecution().executedPlan().toString()
+    assert not written and not [line for line in plan.splitlines() if "Exchange" in line and "ord#" in line]
+    search = locate.locate_search(few, obs, model, stages=2, n=40, wgs84=False)
+    monkeypatch.setattr(locate, "CHUNK", 10)
+    monkeypatch.setattr(locate, "PLACES", 10)
+    obs = locate.observations(some, st)
+    assert obs.agg(F.max("chunk")).first()[0] > 3
+    again = locate.posterior(few, obs, model, n=60, spread=(0.05, 2.0), wgs84=False), locate.locate_search(few, obs, model, stages=2, n=40, wgs84=False)
+    for one, two in zip((post, search), again):
+        a, b = (df.toPandas().sort_values("event_id").reset_index(drop=True) for df in (one, two))
+        assert len(a) == 6
+        pd.testing.assert_frame_equal(a, b, rtol=1e-6)
