@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from shakegrid.llm import kneser_ney, toxicity
+from shakegrid.llm import kneser_ney, sampling, toxicity
 from shakegrid.llm.sampling import labelled
 
 DOCS = "doc_id long, text string, lang string"
@@ -18,6 +18,26 @@ def test_every_labelled_document_teaches(spark):
     assert got == Counter([(i, f"word {i}", 1) for i in range(2500)] + [(9000, "long " * 9000, 1), (7, "word 7", 0)])
 
 
+def test_labelled_texts_stay_where_they_lie(spark, monkeypatch):
+    """Labelled ids are sent as bitmaps, whatever their number; ids too far apart for them are joined, with the same rows."""
+    ids = [*range(-40_000, 40_000, 7), 1 << 40, -(1 << 62), (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, f"t{i}", "en") for i in ids] + [(None, "none", "en"), (3, "no label", "en")], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids if i % 3] + [(9, 1), (None, 0)] + [(i, 1) for i in ids if i % 12 == 0], "doc_id long, toxic int")
+    want = Counter((i, f"t{i}", i % 2) for i in ids if i % 3) + Counter((i, f"t{i}", 1) for i in ids if i % 12 == 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sent = labelled(docs, labels, "toxic")
+        monkeypatch.setattr(sampling, "BITMAPS", 3)
+        met = labelled(docs, labels, "toxic")
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (sent, met)]
+        assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+        for x in (sent, met):
+            assert x.columns == ["doc_id", "text", "toxic"]
+            assert Counter(map(tuple, x.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quality_learns_from_all_trusted_text(spark):
     """A character that only documents beyond the first thousand and long ones hold has its own class."""
     rows = [(i, "the same line " + "éàü"[i % 3] * (i >= 1000), "en") for i in range(1300)] + [(2000, "ø the same line " * 2000, "en")]
@@ -57,3 +77,19 @@ def test_toxicity_learns_from_all_labelled_text(spark, monkeypatch):
     model = toxicity.train(docs, labels)
     scores = model.scores([text(30) + w + text(30) for w in (" quzzilk ", " vexgrob ", " ") for _ in range(5)])
     assert (scores[:10] >= 0.3).all() and (scores[10:] < 0.3).all()
+
+
+def test_toxicity_states_leave_a_task_as_one_sum(spark, monkeypatch):
+    """Shards that share a task give the model of shards that have one each."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SHARD", 2)
+    rows = [(i, f"w{i} a b " + "bad " * (i % 2), "en") for i in range(80)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    made = []
+    pinned = lambda df: made.append(df.rdd.getNumPartitions()) or df.localCheckpoint()
+    monkeypatch.setattr(toxicity, "pin", pinned)
+    together = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
+    alone = toxicity.train(docs, labels)
+    assert made == [16, 40]
+    assert all(np.allclose(together.params[k], alone.params[k], atol=1e-6) for k in alone.params)
