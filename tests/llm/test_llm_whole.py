@@ -1,5 +1,7 @@
 """What the operators learn comes from all rows."""
 
+import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -93,3 +95,24 @@ def test_toxicity_states_leave_a_task_as_one_sum(spark, monkeypatch):
     alone = toxicity.train(docs, labels)
     assert made == [16, 40]
     assert all(np.allclose(together.params[k], alone.params[k], atol=1e-6) for k in alone.params)
+
+
+def test_spelled_gives_crc32_of_the_grams():
+    ws = [b"", b"a", b"ab", b"abc", "é中".encode(), b"\x00\xff" * 20, b"$^", b"x" * 64]
+    flat, first, size = toxicity.spelled(ws)
+    for w, at, n in zip(ws, first, size):
+        assert [*flat[at : at + n]] == [zlib.crc32(g) for g in toxicity.grams(w)]
+    assert len(flat) == size.sum() and [len(x) for x in toxicity.spelled([])] == [0, 0, 0]
+
+
+def test_toxicity_prepares_a_shard_once(spark, monkeypatch):
+    """Examples come from the pinned rows of their shard; a pass reads them and prepares nothing."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    pinned = []
+    monkeypatch.setattr(toxicity, "pin", lambda df: pinned.append(df.localCheckpoint()) or pinned[-1])
+    rows = [(i, f"w{i} a b " + "bad " * (i % 2), "en") for i in range(20)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    (shard,) = pinned[0].collect()
+    examples = pickle.loads(shard.examples)
+    assert shard.n == 20 and examples.windows.shape == (20, toxicity.WINDOW) and sorted(examples.y) == [0.0] * 10 + [1.0] * 10
