@@ -30,13 +30,17 @@ DIGITS = 4
 FINER = 8
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 NO_ID = -(1 << 63)
+#: Neither text 0 nor 1 alone.
+BOTH = 2
 
 
 def signatures(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, signature) from rows (keys, term, weight): term long, weight at least 1; null weights draw nothing.
+    """(keys, signature) from rows (keys, term, weight): term long, weight at least 1; null weights draw nothing."""
+    return _written(draws(weighted, keys), keys)
 
-    The draws of a key are minima of numbers: the value in the upper half, the identity of the drawn pair in the lower.
-    """
+
+def draws(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pass, m0 ..): minima over the terms, the value in the upper half, the identity of the drawn pair in the lower."""
     bits = (1 << 12) - 1
 
     def both(h: Column, x: int, y: int) -> Column:
@@ -58,21 +62,35 @@ def signatures(weighted: DataFrame, keys: list[str]) -> DataFrame:
         value = F.log(f"c{k}") - F.col(f"r{k}") * (F.col(f"t{k}") - F.col(f"b{k}") + 1)
         return F.shiftleft((value * F.lit(2.0**20)).cast("long"), 32).bitwiseOR(F.xxhash64("term", f"t{k}").bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    least = rows.groupBy(*keys, "pass").agg(*(F.min(drawn(k)).alias(f"m{k}") for k in n))
-    digits = [F.lpad(F.hex(F.col(f"m{k}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1).cast("long"))), DIGITS, "0") for k in n]
+    return rows.groupBy(*keys, "pass").agg(*(F.min(drawn(k)).alias(f"m{k}") for k in n))
+
+
+def _written(least: DataFrame, keys: list[str]) -> DataFrame:
+    digits = [F.lpad(F.hex(F.col(f"m{k}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1).cast("long"))), DIGITS, "0") for k in range(UNROLLED)]
     parts = least.select(*keys, "pass", F.lower(F.concat(*digits)).alias("part"))
     whole = parts.groupBy(*keys).agg(*(F.max(F.when(F.col("pass") == i, F.col("part"))).alias(f"p{i}") for i in range(PASSES)))
     return whole.select(*keys, F.concat(*(f"p{i}" for i in range(PASSES))).alias("signature"))
 
 
-def weighted_words(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """(keys, term, weight): hashes of the lower-cased words of each text and their counts.
+def paired_signatures(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+    """(keys, which, signature) of the two texts of each key, ``which`` 0 and 1.
 
-    Blank pieces are one term without weight, so that an empty text keeps a row.
+    A term that both texts hold equally often draws once, as BOTH, and its draws count for either.
     """
-    split = texts.select(*keys, F.explode(F.split(F.lower(column), SPACE)).alias("word"))
-    terms = split.groupBy(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).agg(F.count("*").alias("n"))
-    return terms.select(*keys, "term", F.when(F.col("term").isNotNull(), F.col("n")).alias("weight"))
+    split = texts.select(*keys, "which", F.explode(F.split(F.lower(column), SPACE)).alias("word"))
+    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    counts = split.groupBy(*keys, term.alias("term")).agg(*(F.count_if(F.col("which") == i).alias(f"n{i}") for i in (0, 1)))
+    # blank pieces have no weight and keep the row of their key
+    equal = F.col("term").isNull() | (F.col("n0") == F.col("n1"))
+    weights = F.array(
+        F.struct(F.when(equal, BOTH).otherwise(0).alias("which"), F.when(F.col("term").isNotNull(), F.col("n0")).alias("weight")),
+        F.struct(F.lit(1).alias("which"), F.when(equal, 0).otherwise(F.col("n1")).alias("weight")),
+    )
+    weighted = counts.select(*keys, "term", F.inline(weights)).where("weight is null or weight > 0")
+    least = draws(weighted, [*keys, "which"])
+    each = least.withColumn("which", F.explode(F.when(F.col("which") == BOTH, F.array(F.lit(0), F.lit(1))).otherwise(F.array("which"))))
+    keys = [*keys, "which"]
+    return _written(each.groupBy(*keys, "pass").agg(*(F.min(f"m{k}").alias(f"m{k}") for k in range(UNROLLED))), keys)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -119,7 +137,7 @@ def edited(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> Da
     info = [*keys, "copies", "n_chars", "sha"]
     pairs = pairs.withColumn("sha", F.unhex(F.sha2("changed", 256))).select(*info, both).select(*info, "x.which", "x.text")
     of = [F.coalesce(F.max(F.when(F.col("which") == i, F.col("signature"))), F.lit("")) for i in (0, 1)]
-    found = signatures(weighted_words(pairs, [*info, "which"]), [*info, "which"]).groupBy(*info).agg(of[0].alias("fingerprint"), of[1].alias("edited_fingerprint"))
+    found = paired_signatures(pairs, info).groupBy(*info).agg(of[0].alias("fingerprint"), of[1].alias("edited_fingerprint"))
     found = cut(found)
     behind = chain.join(found.select(F.col("id0").alias("nid"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint")), ["nid", "nh"])
     out = found.join(behind.select(*keys, "next_fingerprint"), keys)

@@ -250,3 +250,22 @@ def test_audit_is_not_hidden_by_a_huge_group():
 
     found = {(int(a), int(b)) for part in embedding_dedup.near(Lossy(), x, 0.93) for a, b in zip(*part)}
     assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.93))}
+
+
+def test_equal_terms_of_a_pair_draw_once(spark, monkeypatch):
+    """Both texts get the signature that each gets alone, and a term that both hold equally often is drawn for once (op4)."""
+    texts = {(1, 0): "a b c c", (1, 1): "a B c d", (2, 0): "", (2, 1): "x x", (3, 0): "y z", (3, 1): "y z"}
+    df = spark.createDataFrame([(*k, t) for k, t in texts.items()], "k int, which int, text string")
+    drawn, draws = [], weighted_sampling.draws
+
+    def counted(weighted, keys):
+        drawn.append(weighted.where("weight is not null").count())
+        return draws(weighted, keys)
+
+    monkeypatch.setattr(weighted_sampling, "draws", counted)
+    got = {(r.k, r.which): r.signature for r in weighted_sampling.paired_signatures(df, ["k"]).collect()}
+    assert drawn == [2 + 3 + 1 + 2]
+    words = df.selectExpr("k", "which", "explode(split(lower(text), ' ')) w").where("w != ''")
+    alone = words.selectExpr("k", "which", "xxhash64(w) term").groupBy("k", "which", "term").count().withColumnRenamed("count", "weight")
+    want = {(r.k, r.which): r.signature for r in weighted_sampling.signatures(alone, ["k", "which"]).collect()}
+    assert {k: s for k, s in got.items() if s} == want and len(want) == 5
