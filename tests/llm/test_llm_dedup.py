@@ -269,3 +269,12 @@ def test_equal_terms_of_a_pair_draw_once(spark, monkeypatch):
     alone = words.selectExpr("k", "which", "xxhash64(w) term").groupBy("k", "which", "term").count().withColumnRenamed("count", "weight")
     want = {(r.k, r.which): r.signature for r in weighted_sampling.signatures(alone, ["k", "which"]).collect()}
     assert {k: s for k, s in got.items() if s} == want and len(want) == 5
+
+
+def test_no_join_of_fingerprints_is_a_broadcast(spark):
+    """Sizes are read off packed columns from before they are exploded, so a side of 65 rows a fingerprint looks small."""
+    fps = spark.range(500).selectExpr("id * 7919 fp")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    docs = spark.createDataFrame(corpus()[:30], DOCS)
+    assert "BroadcastHashJoin" not in simhash.groups(docs)._jdf.queryExecution().executedPlan().toString()
