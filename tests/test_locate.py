@@ -187,3 +187,17 @@ def test_places_are_summed_where_the_lags_lie(spark, problem, monkeypatch):
         a, b = (df.toPandas().sort_values("event_id").reset_index(drop=True) for df in (one, two))
         assert len(a) == 6
         pd.testing.assert_frame_equal(a, b, rtol=1e-6)
+
+
+def test_observations_are_packed_and_stay(spark, problem):
+    """Lags are a bucketed table: less than half of a checkpoint's size, and a join by event does not move them."""
+    import os
+
+    _model, st, ev, lags = problem
+    obs = locate.observations(lags, st)
+    size = lambda d: sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(d) for f in fs)
+    files = obs.inputFiles()
+    assert files and size(os.path.dirname(files[0]).removeprefix("file:")) < obs.count() * 60
+    plan = locate._meet(obs, ev.join(locate._chunks(obs), "event_id")).hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount" in plan
+    assert set(obs.columns) >= {"event_id", "chunk", "k_lat", "l_sc"}
