@@ -155,3 +155,33 @@ def test_select_td_covers_every_event(spark):
 def test_stage_lists_need_equal_length(spark):
     with pytest.raises(ValueError):
         relocate.relocate(None, None, None, MODEL, iterations=(1,), dist_km=(1.0, 2.0), damping=(0.0,))
+
+
+def test_steps_in_one_task_are_those_of_all(spark, two_sizes, monkeypatch):
+    """A cluster that one task solves gets what the steps over all tasks give, and both kinds may come together."""
+    small = two_sizes.where("cid = 1")
+    zero = spark.createDataFrame([(1, True), (2, True)], "cid int, zero_sum boolean")
+    own = relocate.solve_clusters(small, 1.0, zero).toPandas().sort_values("event_id")
+    monkeypatch.setattr(relocate, "LOCAL_BLOCKS", 0)
+    far = relocate.solve_clusters(small, 1.0, zero).toPandas().sort_values("event_id")
+    np.testing.assert_allclose(own.filter(like="_l").to_numpy(), far.filter(like="_l").to_numpy(), rtol=1e-3, atol=1e-6)
+    assert own.converged.all() and far.converged.all() and len(own) == len(far) == 12
+
+
+def test_registered_queries_do_the_whole_job(spark, tmp_path, monkeypatch):
+    """relocate gets all stages and steps and every pair of a cluster; triple_differences too."""
+    from shakegrid import registry
+
+    rows = "cast(id as bigint)"
+    spark.range(40).selectExpr(f"{rows} + 1 o_orderkey", f"{rows} * 40 + 7 o_custkey", "'O' o_orderstatus", "timestamp_ntz'2000-01-01 00:00:00' o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr(
+        f"{rows} + 1 l_orderkey", "3L l_partkey", "1L l_suppkey", "1 l_linenumber", "10.0D l_quantity", "1.0D l_extendedprice", "0.05D l_discount", "id * 0.001D l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(25).selectExpr(f"{rows} n_nationkey", "concat('S', id) n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    td = registry.triple_differences(spark, str(tmp_path))
+    kept = [i for i in range(1, 41) if i % 20 != 7 and i % 97]
+    ref = sum(i % 20 == 3 for i in kept)
+    assert td.count() == len(kept) * (len(kept) - 1) // 2 - ref * (ref - 1) // 2 and td.where("dist_km >= 1").count() > 0
+    seen = {}
+    monkeypatch.setattr(registry.relocate_plan, "relocate", lambda cat, td, st, model, **kw: seen.update(kw, n=td.count()) or cat)
+    registry.relocate(spark, str(tmp_path))
+    assert not {"iterations", "dist_km", "damping", "max_td"} & set(seen) and seen["n"] == td.count()
