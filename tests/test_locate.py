@@ -201,3 +201,22 @@ def test_observations_are_packed_and_stay(spark, problem):
     plan = locate._meet(obs, ev.join(locate._chunks(obs), "event_id")).hint("merge")._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount" in plan
     assert set(obs.columns) >= {"event_id", "chunk", "k_lat", "l_sc"}
+
+
+def test_samples_are_weighed_like_one_event_after_another():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    event = rng.integers(0, 5, 400) * 1_000_003
+    rows = pd.DataFrame({"event_id": event, "ord": np.arange(400), "lat": rng.normal(38, 1, 400), "lon": rng.normal(141, 1, 400), "depth_km": rng.normal(9, 3, 400),
+                         "loglik": rng.normal(0, 3, 400).round(1), "_lw": rng.normal(0, 400, 400).round(0)})
+    batches = pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=70)
+    got = pa.Table.from_batches(list(locate.weighed(iter(batches)))).to_pandas().set_index("event_id")
+    assert len(got) == 5 and list(locate.weighed(iter([]))) == []
+    for i, own in rows.groupby("event_id"):
+        w, top = np.exp(own._lw - own._lw.max()), own.sort_values(["loglik", "ord"], ascending=[False, True]).iloc[0]
+        r = got.loc[i]
+        assert r.n_samples == len(own) and math.isclose(r.ess, w.sum() ** 2 / (w * w).sum()) and (r.lat, r.loglik) == (top.lat, top.loglik)
+        for c in locate.PLACE:
+            mean = (w * own[c]).sum() / w.sum()
+            assert math.isclose(r[f"mean_{c}"], mean) and math.isclose(r[f"sd_{c}"], np.sqrt((w * (own[c] - mean) ** 2).sum() / w.sum()), abs_tol=1e-6)
